@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeparts import bucket_number
+from ..functions.timeparts import bucket_number, epoch_seconds, seconds_of
 
 BUCKET = "_bucket"
 WIDTH_LADDER = ("365 days", "30 days", "1 day", "1 hour", "1 minute", "1 second")
@@ -34,8 +34,6 @@ def measured_width(df: DataFrame, keys: list[str], time: str, max_rows: int = 1_
     counts = df.groupBy(*keys, bucket_number(F.col(time), "1 second").alias("_s")).agg(
         F.count("*").alias("_n")
     )
-    from ..functions.timeparts import seconds_of
-
     worst = None
     for step in WIDTH_LADDER:
         size = seconds_of(step)
@@ -56,6 +54,11 @@ def _across(keys: list[str], newest_first: bool = False):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _over_sql(keys: list[str], order: list[str]) -> str:
+    part = ", ".join(f"`{k}`" for k in [*keys, BUCKET])
+    return f"OVER (PARTITION BY {part} ORDER BY {', '.join(f'`{o}`' for o in order)})"
+
+
 def positions(
     df: DataFrame, keys: list[str], time: str, width: str = "1 day", out: str = "pos"
 ) -> DataFrame:
@@ -74,6 +77,23 @@ def positions(
     )
 
 
+def grid_position(time: str, step: str) -> Column:
+    """Row position on a regular grid, straight from the time."""
+    return F.floor(epoch_seconds(F.col(time)) / seconds_of(step)).cast("bigint")
+
+
+def spread_with_halo(df: DataFrame, keys: list[str], time: str, width: str, step: str) -> DataFrame:
+    """spread() for a regular grid, the last row of each bucket copied to the start of the next.
+
+    `_home` tells a bucket's own rows from the copy, so a lag needs no summary.
+    """
+    home = bucket_number(F.col(time), width)
+    last = home != F.floor((epoch_seconds(F.col(time)) + seconds_of(step)) / seconds_of(width))
+    targets = F.when(last, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = df.withColumn(BUCKET, F.explode(targets))
+    return rows.withColumn("_home", F.col(BUCKET) == home).repartition(*keys, BUCKET)
+
+
 def with_previous(
     df: DataFrame, keys: list[str], time: str, cols: list[str], width: str = "1 day", prefix: str = "prev_"
 ) -> DataFrame:
@@ -89,14 +109,13 @@ def _with_previous(parts: DataFrame, keys: list[str], time: str, cols: list[str]
     local = _inside(keys, time)
     first_row = F.row_number().over(local) == 1
     joined = parts.join(carried, [*keys, BUCKET]).withColumn("_first", first_row)
-    out = joined.select(
+    return joined.select(
         *parts.columns,
         *[
             F.when(F.col("_first"), F.col(f"_c_{c}")).otherwise(F.lag(c).over(local)).alias(f"{prefix}{c}")
             for c in cols
         ],
     )
-    return out
 
 
 def rate_of_change(
@@ -168,18 +187,16 @@ def _fill(
             carried.append(F.last(end_point("f", c), True).over(_across(keys, True)).alias(f"_cn_{c}"))
     joined = placed.join(ends.select(*carried), [*keys, BUCKET]).withColumn("_p", F.col("_base") + F.col("_lp"))
 
-    # The forward look uses a reversed running window: a frame that ends at the last row would be
-    # recomputed for every row.
-    to_here = local.rowsBetween(Window.unboundedPreceding, 0)
-    backwards = _inside(keys, *[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
     points = {f"_m_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(c).alias("v"))) for c in cols}
     joined = joined.withColumns(points)
+    over = _over_sql(keys, order)
     around = {}
     for c in cols:
+        here = F.col(f"_m_{c}")
         if looks_back:
-            around[f"_b_{c}"] = F.coalesce(F.last(f"_m_{c}", True).over(to_here), F.col(f"_cp_{c}"))
+            around[f"_b_{c}"] = F.coalesce(here, F.expr(f"lag(`_m_{c}`) IGNORE NULLS {over}"), F.col(f"_cp_{c}"))
         if looks_on:
-            around[f"_a_{c}"] = F.coalesce(F.last(f"_m_{c}", True).over(backwards), F.col(f"_cn_{c}"))
+            around[f"_a_{c}"] = F.coalesce(here, F.expr(f"lead(`_m_{c}`) IGNORE NULLS {over}"), F.col(f"_cn_{c}"))
     joined = joined.withColumns(around)
 
     filled = {}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import null_if_nan, positive_only
 from ..functions.timeparts import on_minute, parse_time
-from .carry import BUCKET, _fill, _with_previous, spread
+from .carry import BUCKET, _fill, _with_previous, grid_position, spread, spread_with_halo
 from .quantile import quantiles
 
 
@@ -46,29 +46,40 @@ def mask_outliers(
     cols: list[str],
     q: float = 0.97,
     width: str = "1 day",
+    step: str | None = None,
     thresholds: DataFrame | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """NULL where the rate of change exceeds that column's q-quantile over the series.
 
-    `thresholds` (keys + one column per value column) replaces the measured quantiles, for
-    incremental runs that must use the published ones.
+    `step` says the rows lie on a regular grid of that step, which saves the pass that carries
+    values across buckets. `thresholds` (keys + one column per value column) replaces the measured
+    quantiles, for incremental runs that must use the published ones.
     """
-    parts = spread(df, keys, time, width)
-    return _mask_outliers(parts, keys, time, cols, q, thresholds, approx).drop(BUCKET)
+    return _mask_outliers(df, keys, time, cols, q, width, step, thresholds, approx).drop(BUCKET)
 
 
 def _mask_outliers(
-    parts: DataFrame,
+    df: DataFrame,
     keys: list[str],
     time: str,
     cols: list[str],
-    q: float = 0.97,
-    thresholds: DataFrame | None = None,
-    approx: bool = False,
+    q: float,
+    width: str,
+    step: str | None,
+    thresholds: DataFrame | None,
+    approx: bool,
 ) -> DataFrame:
-    roc = {f"_r_{c}": F.abs(F.col(c) - F.col(f"_p_{c}")) for c in cols}
-    moved = _with_previous(parts, keys, time, cols, "_p_").withColumns(roc).drop(*[f"_p_{c}" for c in cols])
+    """The masked rows with their bucket, clustered by (key, bucket)."""
+    if step:
+        parts = spread_with_halo(df, keys, time, width, step)
+        ordered = Window.partitionBy(*keys, BUCKET).orderBy(time)
+        before = parts.withColumns({f"_p_{c}": F.lag(c).over(ordered) for c in cols}).where("_home").drop("_home")
+    else:
+        parts = spread(df, keys, time, width)
+        before = _with_previous(parts, keys, time, cols, "_p_")
+    changes = [F.abs(F.col(c) - F.col(f"_p_{c}")).alias(f"_r_{c}") for c in cols]
+    moved = before.select(*df.columns, BUCKET, *changes)
     if thresholds is None:
         measured = moved.select(*keys, *[F.col(f"_r_{c}").alias(c) for c in cols])
         thresholds = quantiles(measured, keys, cols, q, approx)
@@ -79,13 +90,14 @@ def _mask_outliers(
         limited = moved.join(limits, [*keys, BUCKET], "left")
     else:
         row = thresholds.select(F.struct(*cols).alias("q")).scalar()
-        limited = moved.withColumns({f"_q_{c}": row.getField(c) for c in cols})
+        limited = moved.withColumn("_q", row).withColumns({f"_q_{c}": F.col(f"_q.{c}") for c in cols})
 
     def steady(c: str) -> Column:
         change, limit = F.col(f"_r_{c}"), F.col(f"_q_{c}")
         return change.isNull() | limit.isNull() | (change <= limit)
 
-    return limited.select(*[F.when(steady(c), F.col(c)).alias(c) if c in cols else F.col(c) for c in parts.columns])
+    kept = [F.when(steady(c), F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns]
+    return limited.select(*kept, BUCKET)
 
 
 def mask_and_fill(
@@ -95,13 +107,14 @@ def mask_and_fill(
     cols: list[str],
     q: float = 0.97,
     width: str = "1 day",
+    step: str | None = None,
     thresholds: DataFrame | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """Outlier mask followed by the full gap fill, on one exchange of the rows."""
-    parts = spread(df, keys, time, width)
-    masked = _mask_outliers(parts, keys, time, cols, q, thresholds, approx)
-    return _fill(masked, keys, time, cols, "full").drop(BUCKET)
+    masked = _mask_outliers(df, keys, time, cols, q, width, step, thresholds, approx)
+    position = grid_position(time, step) if step else None
+    return _fill(masked, keys, time, cols, "full", position).drop(BUCKET)
 
 
 def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

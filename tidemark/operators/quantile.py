@@ -39,11 +39,11 @@ def quantile_long(df: DataFrame, keys: list[str], cols: list[str], q: float) ->
     targets = ranked.where(holds(low) | holds(high)).select(
         *group, "_bin", "_below", low.alias("_low"), high.alias("_high"), (at - F.floor(at)).alias("_t")
     )
+    # At most two target bins per group, so copying their few columns onto the hits is cheap.
     counted = (
-        values.join(targets.select(*group, "_bin"), [*group, "_bin"], "left_semi")
-        .groupBy(*group, "_bin", "_x")
+        values.join(targets, [*group, "_bin"])
+        .groupBy(*group, "_bin", "_x", "_below", "_low", "_high", "_t")
         .agg(F.count("*").alias("_n"))
-        .join(targets, [*group, "_bin"])
     )
     in_bin = Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("_upto", F.col("_below") + F.sum("_n").over(in_bin)).withColumn(

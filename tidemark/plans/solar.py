@@ -10,9 +10,11 @@ from ..operators.clean import mask_and_fill, mask_invalid, minute_boundary, proj
 from ..operators.grid import anti_append, reindex
 from ..operators.select_source import SOURCE_PRIORITY, select_source
 from ..schemas import MAG_COLS, PLASMA_COLS
+from ..session import staged
 
 MAG_NAMES = {"bz_gsm": "bz", "bx_gsm": "bx", "by_gsm": "by"}
 PLASMA_NAMES = {"proton_speed": "speed", "proton_temperature": "temperature", "proton_density": "density"}
+STEP = "1 minute"
 SOLAR_COLS = ["speed", "temperature", "density", "bz", "bx", "by", "bt"]
 
 
@@ -48,9 +50,11 @@ def clean_solar(
     if old_mag is not None and old_plasma is not None:
         mag = anti_append(legacy_feed(old_mag, keys, MAG_COLS, MAG_NAMES), mag, keys, "time")
         plasma = anti_append(legacy_feed(old_plasma, keys, list(PLASMA_NAMES.values()), {}), plasma, keys, "time")
-    solar = to_double(reindex([plasma, mag], keys, "time"), SOLAR_COLS)
+    solar = to_double(reindex([plasma, mag], keys, "time", STEP), SOLAR_COLS)
     solar = mask_invalid(solar, ["density", "speed", "temperature"])
-    solar = mask_and_fill(solar, keys, "time", SOLAR_COLS, q, width, thresholds)
+    # The repair looks at every minute several times: measure, mask, look around, fill.
+    solar = staged(solar.select(*keys, "time", *SOLAR_COLS), "minutes")
+    solar = mask_and_fill(solar, keys, "time", SOLAR_COLS, q, width, STEP, thresholds)
     solar = solar.withColumn("pressure", dynamic_pressure(F.col("density"), F.col("speed")))
     values = [*SOLAR_COLS, "pressure"]
     return solar.select(*keys, "time", *[round_half_even(F.col(c)).alias(c) for c in values])

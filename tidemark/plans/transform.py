@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators.publish import LOOKBACK_HOURS, RETENTION, publish, sync_marker, upsert_lookback
 from ..schemas import SERVING
+from ..session import staged
 from .features import prepare_features
 from .indices import clean_feed
 from .predict import predict
@@ -24,8 +25,9 @@ def transform(
     """solar, dst, kp, ssn and dst_predictions from the raw feeds."""
     keys = keys or []
     solar = clean_solar(feeds["mag"], feeds["plasma"], feeds.get("old_mag"), feeds.get("old_plasma"), keys)
+    solar = staged(solar, "solar")
     smoothed = clean_feed("smoothed_ssn", feeds["smoothed_ssn"], keys)
-    features = prepare_features(solar, smoothed, keys)
+    features = staged(prepare_features(solar, smoothed, keys), "features")
     return {
         "solar": solar,
         "dst": clean_feed("dst", feeds["dst"], keys),

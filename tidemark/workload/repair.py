@@ -17,6 +17,7 @@ from ..plans.indices import clean_index
 from ..plans.solar import clean_solar
 from ..plans.features import FEATURE_COLS, prepare_features
 from ..plans.views import any_data, chart_points
+from ..session import staged
 from . import adapters as A
 from .registry import query
 
@@ -198,7 +199,7 @@ def roc(spark, sf):
 SELECT event_type, time, v, k FROM mv JOIN mk USING (event_type, time)""",
 )
 def outliers(spark, sf):
-    return mask_outliers(A.gappy(spark, sf), ["event_type"], "time", ["v", "k"])
+    return mask_outliers(A.gappy(spark, sf), ["event_type"], "time", ["v", "k"], step="1 hour")
 
 
 @query(
@@ -207,7 +208,8 @@ def outliers(spark, sf):
 SELECT event_type, time, v FROM f""",
 )
 def masked_filled(spark, sf):
-    return mask_and_fill(A.gappy(spark, sf).select("event_type", "time", "v"), ["event_type"], "time", ["v"])
+    rows = A.gappy(spark, sf).select("event_type", "time", "v")
+    return mask_and_fill(rows, ["event_type"], "time", ["v"])
 
 
 @query(
@@ -410,5 +412,6 @@ SELECT date_trunc('hour', time) AS time, {out} FROM n GROUP BY 1 HAVING count(sp
 
 @query("feature_table", _feature_sql())
 def feature_table(spark, sf):
-    features = prepare_features(solar_series(spark, sf), _smoothed(spark, sf), emit_empty=False)
+    solar = staged(solar_series(spark, sf), "solar")
+    features = prepare_features(solar, _smoothed(spark, sf), emit_empty=False)
     return features.select("time", *[F.round(c, 6).alias(c) for c in FEATURE_COLS])
