@@ -19,6 +19,7 @@ SPANS = {"24h": "24 hours", "7d": "7 days", "1mo": "1 month", "1y": "1 year"}
 
 
 def _columns(requested: list[str] | None) -> list[str]:
+    """Requested columns, all of them by default; unknown names fail in project()."""
     return ["time", *(requested or SERVING["solar"])]
 
 
