@@ -25,6 +25,11 @@ def _round(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with `value` computed once per row, even where body uses it per cell."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grid_points(df: DataFrame, lon: str, lat: str, value: str, floor: float = MIN_PROBABILITY, min_lat: float = MIN_ABS_LATITUDE) -> DataFrame:
     """The points worth drawing, longitudes in -180..180."""
     shown = df.where((F.col(value) >= floor) & (F.abs(F.col(lat)) >= min_lat))
@@ -77,14 +82,16 @@ def fill_rows(rows: DataFrame, keys: list[str], max_bridge: int = MAX_BRIDGE) ->
 def blur(rows: DataFrame, keys: list[str], passes: int = 2, width: int = WIDTH) -> DataFrame:
     """Separable [1,2,1]/4 blur: wraps along the row, clamps at the first and last row."""
     order = Window.partitionBy(*keys).orderBy("y")
+    spots = F.sequence(F.lit(1), F.lit(width))
+
+    def along(ring: Column) -> Column:
+        at = lambda i: F.element_at(ring, i)
+        return F.transform(spots, lambda i: (at(i) + at(i + 1) * 2 + at(i + 2)) / 4)
+
     for _ in range(passes):
         cells = F.col("cells")
         ring = F.concat(F.slice(cells, width, 1), cells, F.slice(cells, 1, 1))
-        shifted = F.transform(
-            F.sequence(F.lit(1), F.lit(width)),
-            lambda i: (F.element_at(F.col("_ring"), i) + F.element_at(F.col("_ring"), i + 1) * 2 + F.element_at(F.col("_ring"), i + 2)) / 4,
-        )
-        across = rows.withColumn("_ring", ring).withColumn("_h", shifted)
+        across = rows.select(*keys, "y", _let(ring, along).alias("_h"))
         around = across.withColumn("_u", F.coalesce(F.lag("_h").over(order), F.col("_h"))).withColumn(
             "_d", F.coalesce(F.lead("_h").over(order), F.col("_h"))
         )
@@ -101,22 +108,31 @@ def polar_smooth(rows: DataFrame, keys: list[str], width: int = WIDTH, height: i
     span = F.least(F.floor(1 / scale + 0.5), F.lit(width)).cast("int")
     ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.abs(lat) - FLATTEN_FROM) / float(FLATTEN_TO - FLATTEN_FROM)))
     blend = ramp * ramp * (3 - 2 * ramp)
-    half = F.floor(F.col("_span") / 2).cast("int")
-    prepared = rows.withColumns({"_span": span, "_blend": blend, "_ring": F.concat("cells", "cells", "cells")})
-    prepared = prepared.withColumn("_half", half)
-
-    def mean_at(i: Column) -> Column:
-        around = F.slice("_ring", F.lit(width + 1) + i - F.col("_half"), F.col("_span"))
-        total = F.aggregate(around, F.lit(0.0), lambda a, c: a + c)
-        # Kept in single precision between the two steps, as the display does.
-        return (total / F.col("_span")).cast("float").cast("double")
-
-    means = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), mean_at)
-    prepared = prepared.withColumn("_row", F.when(F.col("_span") > 1, means).otherwise(F.col("cells")))
-    row_mean = F.aggregate("_row", F.lit(0.0), lambda a, c: a + c) / width
-    out = prepared.withColumn("_mean", row_mean)
-    mixed = F.transform("_row", lambda c: _round(c * (1 - F.col("_blend")) + F.col("_mean") * F.col("_blend")))
-    return out.select(*keys, "y", mixed.alias("cells"))
+    given = F.struct(
+        F.concat("cells", "cells", "cells").alias("ring"),
+        F.col("cells"),
+        span.alias("span"),
+        F.floor(span / 2).cast("int").alias("half"),
+        blend.alias("blend"),
+    )
+
+    def widened(g: Column) -> Column:
+        def mean_at(i: Column) -> Column:
+            around = F.slice(g["ring"], F.lit(width + 1) + i - g["half"], g["span"])
+            # Kept in single precision between the two steps, as the display does.
+            return (F.aggregate(around, F.lit(0.0), lambda a, c: a + c) / g["span"]).cast("float").cast("double")
+
+        means = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), mean_at)
+        return F.when(g["span"] > 1, means).otherwise(g["cells"])
+
+    def blended(g: Column) -> Column:
+        def mix(r: Column) -> Column:
+            mean = F.aggregate(r, F.lit(0.0), lambda a, c: a + c) / width
+            return _let(mean, lambda m: F.transform(r, lambda c: _round(c * (1 - g["blend"]) + m * g["blend"])))
+
+        return _let(widened(g), mix)
+
+    return rows.select(*keys, "y", _let(given, blended).alias("cells"))
 
 
 def texture(points: DataFrame, keys: list[str], lon: str, lat: str, value: str, seq: str) -> DataFrame:
