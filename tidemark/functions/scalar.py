@@ -26,10 +26,14 @@ def round_half_even(x: Column, digits: int = 2) -> Column:
     return F.rint(x * scale) / scale
 
 
-def round_half_up(x: Column, digits: int = 0) -> Column:
-    """floor(x + 0.5) at the given digit, the rule browsers use."""
+def round_mean(x: Column, digits: int = 2, half_up: bool = False) -> Column:
+    """Rounds an average the same way whatever order its values were added in.
+
+    The summation noise is rounded off first, so a tie is a tie on every run.
+    """
     scale = float(10**digits)
-    return F.floor(x * scale + 0.5) / scale
+    steady = F.round(x * scale, 6)
+    return (F.floor(steady + 0.5) if half_up else F.rint(steady)) / scale
 
 
 def dynamic_pressure(density: Column, speed: Column) -> Column:

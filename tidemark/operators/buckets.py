@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_even, round_half_up
+from ..functions.scalar import round_mean
 from ..functions.timeparts import floor_time
 from .grid import regular_grid
 
@@ -35,7 +35,7 @@ def complete_bucket_mean(
     rows = df.groupBy(*keys, floor_time(F.col(time), unit).alias("_start")).agg(
         slots_seen(slot(F.col(time))).alias("_slots"), *[F.avg(c).alias(c) for c in cols]
     )
-    value = (lambda c: round_half_even(F.col(c), digits)) if digits is not None else F.col
+    value = (lambda c: round_mean(F.col(c), digits)) if digits is not None else F.col
     return rows.where(F.col("_slots") == expected).select(
         *keys, F.col("_start").alias(out), *[value(c).alias(c) for c in cols]
     )
@@ -88,7 +88,7 @@ def monthly_mean(df: DataFrame, keys: list[str], time: str, col: str, out: str =
     return (
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, month)
-        .agg(round_half_up(F.avg(col), 2).alias(out))
+        .agg(round_mean(F.avg(col), 2, half_up=True).alias(out))
     )
 
 

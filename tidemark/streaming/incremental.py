@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalar import round_half_even
+from ..functions.scalar import round_mean
 from ..functions.timeparts import month_key
 from ..operators.buckets import SLOTS, recompute_touched, slots_seen
 from ..operators.merge import last_wins
@@ -41,7 +41,7 @@ def stream_bucket_mean(
         slots_seen(slot(F.col(time))).alias("_slots"), *[F.avg(c).alias(c) for c in cols]
     )
     return means.where(F.col("_slots") == expected).select(
-        *keys, F.col("_w.start").cast("timestamp_ntz").alias(out), *[round_half_even(F.col(c), digits).alias(c) for c in cols]
+        *keys, F.col("_w.start").cast("timestamp_ntz").alias(out), *[round_mean(F.col(c), digits).alias(c) for c in cols]
     )
 
 

@@ -84,7 +84,7 @@ def outer_join(spark, sf):
 
 
 MONTHLY = """monthly AS (
-  SELECT date_trunc('month', time)::TIMESTAMP AS time, floor(avg(price) * 100 + 0.5) / 100 AS monthly_mean
+  SELECT date_trunc('month', time)::TIMESTAMP AS time, floor(round(avg(price) * 100, 6) + 0.5) / 100 AS monthly_mean
   FROM daily GROUP BY 1)"""
 
 

@@ -42,7 +42,7 @@ from .registry import query
 from .repair import _observed, predictions_joined
 
 WEEK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
-_WEEK_MEANS = ", ".join(f"round_even(avg({c}) * 100, 0) / 100 AS {c}" for c in WEEK_COLS)
+_WEEK_MEANS = ", ".join(f"round_even(round(avg({c}) * 100, 6), 0) / 100 AS {c}" for c in WEEK_COLS)
 _WEEK_SQL = """SELECT l_returnflag, date_trunc('week', l_shipdate)::TIMESTAMP AS time, {means}
 FROM {rows} GROUP BY ALL HAVING count(DISTINCT l_shipdate::DATE) = 7"""
 
@@ -91,7 +91,7 @@ def rows_of_full_days(spark, sf):
 
 @query(
     "monthly_mean",
-    f"WITH {A.DAILY} SELECT date_trunc('month', time)::TIMESTAMP AS month, floor(avg(price) * 100 + 0.5) / 100 AS monthly_mean FROM daily GROUP BY 1",
+    f"WITH {A.DAILY} SELECT date_trunc('month', time)::TIMESTAMP AS month, floor(round(avg(price) * 100, 6) + 0.5) / 100 AS monthly_mean FROM daily GROUP BY 1",
 )
 def month_means(spark, sf):
     return ssn_with_trend(A.daily(spark, sf).withColumnRenamed("price", "swpc_ssn"))[1]

@@ -26,7 +26,7 @@ def _drain(spark, stream):
 
 @query(
     "stream_bucket_mean",
-    """WITH d AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS time, round_even(avg(value) * 100, 0) / 100 AS value,
+    """WITH d AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS time, round_even(round(avg(value) * 100, 6), 0) / 100 AS value,
     count(DISTINCT extract('hour' FROM ts)) AS hours FROM events GROUP BY 1, 2)
 SELECT event_type, time, value FROM d WHERE hours = 24 AND time + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
 )
@@ -62,7 +62,7 @@ def upsert(spark, sf):
 
 @query(
     "stream_touched_buckets",
-    f"""WITH {_LATEST} SELECT event_type, date_trunc('day', time)::TIMESTAMP AS time, round_even(avg(value) * 100, 0) / 100 AS value
+    f"""WITH {_LATEST} SELECT event_type, date_trunc('day', time)::TIMESTAMP AS time, round_even(round(avg(value) * 100, 6), 0) / 100 AS value
 FROM hourly GROUP BY ALL HAVING count(*) = 24""",
 )
 def touched(spark, sf):
