@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+_LOCAL_ROOT: dict[str, str] = {}
+
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; `conf` keys use _ for the dots."""
@@ -34,12 +36,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     The cluster names its shared folder in spark.checkpoint.dir. Only a session without that
     setting, as in local tests, gets a temporary folder, and then it must be a local master.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOT.get("path")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
 
 
