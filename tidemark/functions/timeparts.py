@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-NTZ_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM")
 
 
 def seconds_of(width: str) -> int:
@@ -39,6 +38,10 @@ def floor_time(ts: Column, unit: str) -> Column:
         return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))
     if unit == "day":
         return day.cast("timestamp_ntz")
+    if unit == "week":
+        # Day 0 was a Thursday.
+        monday = F.floor((F.unix_date(day) + 3) / 7) * 7 - 3
+        return F.date_from_unix_date(monday.cast("int")).cast("timestamp_ntz")
     return F.trunc(day, unit).cast("timestamp_ntz")
 
 
@@ -48,8 +51,7 @@ def month_key(ts: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """ISO date-time, date-only or year-month text; anything else becomes NULL."""
-    bare = F.rtrim(F.trim(text), F.lit("Z"))
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in NTZ_FORMATS])
+    return F.rtrim(F.trim(text), F.lit("Z")).try_cast("timestamp_ntz")
 
 
 def interval(text: str) -> Column:

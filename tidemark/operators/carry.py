@@ -21,8 +21,20 @@ WIDTH_LADDER = ("365 days", "30 days", "1 day", "1 hour", "1 minute", "1 second"
 
 
 def spread(df: DataFrame, keys: list[str], time: str, width: str) -> DataFrame:
-    """One exchange on (key, bucket), shared by the summary and the detail branch."""
-    return df.withColumn(BUCKET, bucket_number(F.col(time), width)).repartition(*keys, BUCKET)
+    """One exchange on (key, bucket), shared by the summary and the detail branch.
+
+    Both branches are joined on (key, bucket). Saying up front that those are not NULL keeps the
+    optimizer from adding that filter to one branch only, which would stop the sharing.
+    """
+    return in_buckets(df, keys, time, width).repartition(*keys, BUCKET)
+
+
+def in_buckets(df: DataFrame, keys: list[str], time: str, width: str) -> DataFrame:
+    return _present(df.withColumn(BUCKET, bucket_number(F.col(time), width)), keys)
+
+
+def _present(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, BUCKET]))
 
 
 def measured_width(df: DataFrame, keys: list[str], time: str, max_rows: int = 1_000_000) -> str:
@@ -63,9 +75,10 @@ def positions(
     df: DataFrame, keys: list[str], time: str, width: str = "1 day", out: str = "pos"
 ) -> DataFrame:
     """Adds the dense 0-based row position inside each series."""
-    parts = spread(df, keys, time, width)
+    rows = in_buckets(df, keys, time, width)
+    parts = rows.repartition(*keys, BUCKET)
     base = (
-        parts.groupBy(*keys, BUCKET)
+        rows.groupBy(*keys, BUCKET)
         .agg(F.count("*").alias("_n"))
         .withColumn("_base", F.coalesce(F.sum("_n").over(_across(keys)), F.lit(0)))
         .drop("_n")
@@ -91,7 +104,7 @@ def spread_with_halo(df: DataFrame, keys: list[str], time: str, width: str, step
     last = home != F.floor((epoch_seconds(F.col(time)) + seconds_of(step)) / seconds_of(width))
     targets = F.when(last, F.array(home, home + 1)).otherwise(F.array(home))
     rows = df.withColumn(BUCKET, F.explode(targets))
-    return rows.withColumn("_home", F.col(BUCKET) == home).repartition(*keys, BUCKET)
+    return _present(rows.withColumn("_home", F.col(BUCKET) == home), keys).repartition(*keys, BUCKET)
 
 
 def with_previous(
@@ -103,19 +116,15 @@ def with_previous(
 
 
 def _with_previous(parts: DataFrame, keys: list[str], time: str, cols: list[str], prefix: str) -> DataFrame:
-    whole = Window.partitionBy(*keys).orderBy(BUCKET)
-    tail = parts.groupBy(*keys, BUCKET).agg(*[F.max_by(c, time).alias(f"_t_{c}") for c in cols])
-    carried = tail.select(*keys, BUCKET, *[F.lag(f"_t_{c}").over(whole).alias(f"_c_{c}") for c in cols])
-    local = _inside(keys, time)
-    first_row = F.row_number().over(local) == 1
-    joined = parts.join(carried, [*keys, BUCKET]).withColumn("_first", first_row)
-    return joined.select(
-        *parts.columns,
-        *[
-            F.when(F.col("_first"), F.col(f"_c_{c}")).otherwise(F.lag(c).over(local)).alias(f"{prefix}{c}")
-            for c in cols
-        ],
+    part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
+    tails = parts.groupBy(*keys, BUCKET).agg(*[F.expr(f"max_by(`{c}`, `{time}`) AS `_t_{c}`") for c in cols])
+    carried = tails.selectExpr(
+        *[f"`{k}`" for k in keys], BUCKET, *[f"lag(`_t_{c}`) OVER ({part}ORDER BY {BUCKET}) AS `_c_{c}`" for c in cols]
     )
+    over = _over_sql(keys, [time])
+    joined = parts.join(carried, [*keys, BUCKET]).selectExpr("*", f"row_number() {over} = 1 AS _first")
+    before = [f"CASE WHEN _first THEN `_c_{c}` ELSE lag(`{c}`) {over} END AS `{prefix}{c}`" for c in cols]
+    return joined.selectExpr(*[f"`{c}`" for c in parts.columns], *before)
 
 
 def rate_of_change(
@@ -159,64 +168,57 @@ def _fill(
     tie_break: str | None = None,
 ) -> DataFrame:
     order = [time] + ([tie_break] if tie_break else [])
-    local = _inside(keys, *order)
     counted = position is None
-    placed = parts.withColumn("_lp", F.row_number().over(local).cast("bigint") if counted else position)
+    here = F.row_number().over(_inside(keys, *order)).cast("bigint") if counted else position
+    placed = parts.withColumn("_lp", here)
 
+    # Per bucket: the last and the first known value of each column and where they are.
     looks_back, looks_on = how != "backward", how != "forward"
-    aggs = [F.count("*").alias("_n")]
+    aggs, carried = [F.count("*").alias("_n")], []
+    ahead, behind = _across_sql(keys, "DESC"), _across_sql(keys, "ASC")
     for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.col("_lp"))
+        known = f"CASE WHEN `{c}` IS NOT NULL THEN _lp END"
         if looks_back:
-            aggs += [F.max_by(c, known).alias(f"_lv_{c}"), F.max(known).alias(f"_lq_{c}")]
+            aggs += [F.expr(f"max_by(`{c}`, {known}) AS `_lv_{c}`"), F.expr(f"max({known}) AS `_lq_{c}`")]
+            carried.append(f"last({_point(f'_lq_{c}', f'_lv_{c}')}, true) {behind} AS `_cp_{c}`")
         if looks_on:
-            aggs += [F.min_by(c, known).alias(f"_fv_{c}"), F.min(known).alias(f"_fq_{c}")]
+            aggs += [F.expr(f"min_by(`{c}`, {known}) AS `_fv_{c}`"), F.expr(f"min({known}) AS `_fq_{c}`")]
+            carried.append(f"last({_point(f'_fq_{c}', f'_fv_{c}')}, true) {ahead} AS `_cn_{c}`")
     ends = placed.groupBy(*keys, BUCKET).agg(*aggs)
-    base = F.coalesce(F.sum("_n").over(_across(keys)), F.lit(0)) if counted else F.lit(0)
-    ends = ends.withColumn("_base", base)
+    base = f"coalesce(sum(_n) {behind}, 0)" if counted else "0L"
+    ends = ends.selectExpr("*", f"{base} AS _base").selectExpr(*[f"`{k}`" for k in keys], BUCKET, "_base", *carried)
 
-    def end_point(kind: str, c: str) -> Column:
-        pos = F.col("_base") + F.col(f"_{kind}q_{c}")
-        return F.when(F.col(f"_{kind}q_{c}").isNotNull(), F.struct(pos.alias("p"), F.col(f"_{kind}v_{c}").alias("v")))
-
-    carried = [*keys, BUCKET, "_base"]
-    for c in cols:
-        if looks_back:
-            carried.append(F.last(end_point("l", c), True).over(_across(keys)).alias(f"_cp_{c}"))
-        if looks_on:
-            carried.append(F.last(end_point("f", c), True).over(_across(keys, True)).alias(f"_cn_{c}"))
-    joined = placed.join(ends.select(*carried), [*keys, BUCKET]).withColumn("_p", F.col("_base") + F.col("_lp"))
-
-    points = {f"_m_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(c).alias("v"))) for c in cols}
-    joined = joined.withColumns(points)
+    # Nearest known points on both sides: the row's own, its bucket's, else the carried one.
     over = _over_sql(keys, order)
-    around = {}
+    points = [f"{_point('_lp', c, c)} AS `_m_{c}`" for c in cols]
+    joined = placed.join(ends, [*keys, BUCKET]).selectExpr("*", "_base + _lp AS _p", *points)
+    around, filled = [], {}
     for c in cols:
-        here = F.col(f"_m_{c}")
         if looks_back:
-            around[f"_b_{c}"] = F.coalesce(here, F.expr(f"lag(`_m_{c}`) IGNORE NULLS {over}"), F.col(f"_cp_{c}"))
+            around.append(f"coalesce(`_m_{c}`, lag(`_m_{c}`) IGNORE NULLS {over}, `_cp_{c}`) AS `_b_{c}`")
         if looks_on:
-            around[f"_a_{c}"] = F.coalesce(here, F.expr(f"lead(`_m_{c}`) IGNORE NULLS {over}"), F.col(f"_cn_{c}"))
-    joined = joined.withColumns(around)
+            around.append(f"coalesce(`_m_{c}`, lead(`_m_{c}`) IGNORE NULLS {over}, `_cn_{c}`) AS `_a_{c}`")
+        before, after = f"`_b_{c}`", f"`_a_{c}`"
+        line = f"({after}.v - {before}.v) / ({after}.p - {before}.p) * (_p - {before}.p) + {before}.v"
+        drawn = f"CASE WHEN `{c}` IS NOT NULL THEN `{c}` WHEN {after} IS NULL THEN {before}.v ELSE {line} END"
+        filled[c] = {
+            "forward": f"{before}.v",
+            "backward": f"{after}.v",
+            "linear": drawn,
+            "full": f"coalesce({drawn}, {after}.v)",
+        }[how]
+    return joined.selectExpr("*", *around).selectExpr(
+        *[f"{filled[c]} AS `{c}`" if c in filled else f"`{c}`" for c in parts.columns]
+    )
 
-    filled = {}
-    for c in cols:
-        before, after = F.col(f"_b_{c}"), F.col(f"_a_{c}")
-        if how == "forward":
-            filled[c] = before.getField("v")
-            continue
-        if how == "backward":
-            filled[c] = after.getField("v")
-            continue
-        slope = (after.getField("v") - before.getField("v")) / (after.getField("p") - before.getField("p"))
-        line = slope * (F.col("_p") - before.getField("p")) + before.getField("v")
-        value = (
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .when(before.isNotNull() & after.isNotNull(), line)
-            .when(before.isNotNull(), before.getField("v"))
-        )
-        filled[c] = F.coalesce(value, after.getField("v")) if how == "full" else value
-    return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in parts.columns])
+
+def _point(position: str, value: str, known: str | None = None) -> str:
+    return f"CASE WHEN `{known or position}` IS NOT NULL THEN struct(_base + `{position}` AS p, `{value}` AS v) END"
+
+
+def _across_sql(keys: list[str], direction: str) -> str:
+    part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
+    return f"OVER ({part}ORDER BY {BUCKET} {direction} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 def tail_rows(

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import null_if_nan, positive_only
 from ..functions.timeparts import on_minute, parse_time
-from .carry import BUCKET, _fill, _with_previous, grid_position, spread, spread_with_halo
+from .carry import (
+    BUCKET,
+    _fill,
+    _over_sql,
+    _with_previous,
+    grid_position,
+    in_buckets,
+    spread,
+    spread_with_halo,
+)
 from .quantile import quantiles
 
 
@@ -71,33 +80,32 @@ def _mask_outliers(
     approx: bool,
 ) -> DataFrame:
     """The masked rows with their bucket, clustered by (key, bucket)."""
+    given = [f"`{c}`" for c in df.columns]
     if step:
         parts = spread_with_halo(df, keys, time, width, step)
-        ordered = Window.partitionBy(*keys, BUCKET).orderBy(time)
-        before = parts.withColumns({f"_p_{c}": F.lag(c).over(ordered) for c in cols}).where("_home").drop("_home")
+        over = _over_sql(keys, [time])
+        before = parts.selectExpr("*", *[f"lag(`{c}`) {over} AS `_p_{c}`" for c in cols]).where("_home")
     else:
         parts = spread(df, keys, time, width)
         before = _with_previous(parts, keys, time, cols, "_p_")
-    changes = [F.abs(F.col(c) - F.col(f"_p_{c}")).alias(f"_r_{c}") for c in cols]
-    moved = before.select(*df.columns, BUCKET, *changes)
+    moved = before.selectExpr(*given, BUCKET, *[f"abs(`{c}` - `_p_{c}`) AS `_r_{c}`" for c in cols])
     if thresholds is None:
-        measured = moved.select(*keys, *[F.col(f"_r_{c}").alias(c) for c in cols])
+        measured = moved.selectExpr(*[f"`{k}`" for k in keys], *[f"`_r_{c}` AS `{c}`" for c in cols])
         thresholds = quantiles(measured, keys, cols, q, approx)
     if keys:
         # One row per (key, bucket), so the detail rows join on a well-spread key.
-        limits = thresholds.select(*keys, *[F.col(c).alias(f"_q_{c}") for c in cols])
-        limits = parts.select(*keys, BUCKET).distinct().join(limits, keys)
+        limits = thresholds.selectExpr(*[f"`{k}`" for k in keys], *[f"`{c}` AS `_q_{c}`" for c in cols])
+        limits = in_buckets(df, keys, time, width).select(*keys, BUCKET).distinct().join(limits, keys)
         limited = moved.join(limits, [*keys, BUCKET], "left")
     else:
         row = thresholds.select(F.struct(*cols).alias("q")).scalar()
-        limited = moved.withColumn("_q", row).withColumns({f"_q_{c}": F.col(f"_q.{c}") for c in cols})
+        limited = moved.withColumn("_q", row).selectExpr("*", *[f"_q.`{c}` AS `_q_{c}`" for c in cols])
 
-    def steady(c: str) -> Column:
-        change, limit = F.col(f"_r_{c}"), F.col(f"_q_{c}")
-        return change.isNull() | limit.isNull() | (change <= limit)
+    def kept(c: str) -> str:
+        steady = f"`_r_{c}` IS NULL OR `_q_{c}` IS NULL OR `_r_{c}` <= `_q_{c}`"
+        return f"CASE WHEN {steady} THEN `{c}` END AS `{c}`" if c in cols else f"`{c}`"
 
-    kept = [F.when(steady(c), F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns]
-    return limited.select(*kept, BUCKET)
+    return limited.selectExpr(*[kept(c) for c in df.columns], BUCKET)
 
 
 def mask_and_fill(

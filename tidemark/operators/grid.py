@@ -36,10 +36,18 @@ def regular_grid(
 
 
 def reindex(
-    frames: list[DataFrame], keys: list[str], time: str, step: str = "1 minute", chunk: str = "1 day"
+    frames: list[DataFrame],
+    keys: list[str],
+    time: str,
+    step: str = "1 minute",
+    chunk: str = "1 day",
+    spans: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """All columns of all frames on their common grid; off-grid rows vanish, gaps are NULL."""
-    out = regular_grid(frames, keys, time, step, chunk)
+    """All columns of all frames on their common grid; off-grid rows vanish, gaps are NULL.
+
+    `spans` are frames with the same times as `frames` but cheaper to scan, for the bounds.
+    """
+    out = regular_grid(spans or frames, keys, time, step, chunk)
     for frame in frames:
         out = out.join(frame, [*keys, time], "left")
     return out

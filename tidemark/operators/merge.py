@@ -11,20 +11,29 @@ from ..sources.tables import list_partitions
 MONTH = "month"
 
 
+# Types whose aggregation buffers are fixed-width, so max_by runs as a hash aggregation.
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+OLDEST = -(2**63)
+
+
 def last_wins(df: DataFrame, keys: list[str], seq: Column | str) -> DataFrame:
     """The record with the highest `seq` per key, whole: its NULLs replace earlier values."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rest = [c for c in df.columns if c not in keys]
     order = F.col(seq) if isinstance(seq, str) else seq
+    if all(types[c] in FIXED_WIDTH for c in rest):
+        # The columns see the same rows in the same order, so they agree on the winning record.
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
     out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
     return out.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def merge_records(existing: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """Upsert of whole records; inside `new`, `seq` decides between copies of one key."""
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    """Upsert of whole records; inside `new`, `seq` (integers) decides between copies of one key."""
     cols = existing.columns
-    old_rows = existing.withColumn("_o", F.struct(F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("s")))
-    new_rows = new.withColumn("_o", F.struct(F.lit(1).alias("g"), order.alias("s"))).select(*cols, "_o")
+    arrival = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    old_rows = existing.withColumn("_o", F.lit(OLDEST).cast("bigint"))
+    new_rows = new.withColumn("_o", arrival).select(*cols, "_o")
     return last_wins(old_rows.unionByName(new_rows), keys, "_o").select(*cols)
 
 

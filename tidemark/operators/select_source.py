@@ -46,22 +46,19 @@ def select_source(
     The active candidate gives way to the inactive one only if it is NULL in every column and some
     single inactive row is complete; a group without any active row always uses the inactive one.
     """
-    is_active = F.col(active)
     ranked = df.withColumn("_rank", source_rank(F.col(source), priority))
-    complete = F.lit(True)
-    for c in cols:
-        complete = complete & F.col(c).isNotNull()
+    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
     aggs = [
-        F.bool_or(is_active).alias("_any_active"),
-        F.bool_or(~is_active & complete).alias("_inactive_complete"),
+        F.expr(f"bool_or(`{active}`) AS _any_active"),
+        F.expr(f"bool_or(NOT `{active}` AND {complete}) AS _inactive_complete"),
     ]
     for c in cols:
-        known = F.col(c).isNotNull()
-        aggs.append(F.min_by(c, F.when(is_active & known, F.col("_rank"))).alias(f"_a_{c}"))
-        aggs.append(F.min_by(c, F.when(~is_active & known, F.col("_rank"))).alias(f"_i_{c}"))
+        known = f"`{c}` IS NOT NULL THEN _rank END"
+        aggs.append(F.expr(f"min_by(`{c}`, CASE WHEN `{active}` AND {known}) AS `_a_{c}`"))
+        aggs.append(F.expr(f"min_by(`{c}`, CASE WHEN NOT `{active}` AND {known}) AS `_i_{c}`"))
     picked = ranked.groupBy(*keys).agg(*aggs)
-    active_empty = F.coalesce(*[F.col(f"_a_{c}") for c in cols]).isNull()
-    use_inactive = ~F.col("_any_active") | (active_empty & F.col("_inactive_complete"))
-    return picked.select(
-        *keys, *[F.when(use_inactive, F.col(f"_i_{c}")).otherwise(F.col(f"_a_{c}")).alias(c) for c in cols]
+    active_empty = " AND ".join(f"`_a_{c}` IS NULL" for c in cols)
+    swap = f"NOT _any_active OR ({active_empty} AND _inactive_complete)"
+    return picked.selectExpr(
+        *[f"`{k}`" for k in keys], *[f"CASE WHEN {swap} THEN `_i_{c}` ELSE `_a_{c}` END AS `{c}`" for c in cols]
     )

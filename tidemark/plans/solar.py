@@ -18,11 +18,10 @@ STEP = "1 minute"
 SOLAR_COLS = ["speed", "temperature", "density", "bz", "bx", "by", "bt"]
 
 
-def select_feed(raw: DataFrame, keys: list[str], cols: list[str], names: dict, priority: dict = SOURCE_PRIORITY) -> DataFrame:
-    """One row per minute from a multi-source feed, with the short column names."""
+def parse_feed(raw: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The needed columns of the on-minute records of a multi-source feed."""
     rows = project(raw, [*keys, "time_tag", "active", "source", *cols])
-    rows = minute_boundary(with_time_key(rows, "time_tag"), "time")
-    return select_source(rows, [*keys, "time"], cols, priority=priority).withColumnsRenamed(names)
+    return minute_boundary(with_time_key(rows, "time_tag"), "time")
 
 
 def legacy_feed(raw: DataFrame, keys: list[str], cols: list[str], names: dict) -> DataFrame:
@@ -45,12 +44,18 @@ def clean_solar(
     """time, speed, temperature, density, bz, bx, by, bt, pressure: complete minutes, no NULLs
     in any column that has data at all."""
     keys = keys or []
-    mag = select_feed(mag, keys, MAG_COLS, MAG_NAMES, priority)
-    plasma = select_feed(plasma, keys, PLASMA_COLS, PLASMA_NAMES, priority)
+    raw_mag, raw_plasma = parse_feed(mag, keys, MAG_COLS), parse_feed(plasma, keys, PLASMA_COLS)
+    mag = select_source(raw_mag, [*keys, "time"], MAG_COLS, priority=priority).withColumnsRenamed(MAG_NAMES)
+    plasma = select_source(raw_plasma, [*keys, "time"], PLASMA_COLS, priority=priority).withColumnsRenamed(PLASMA_NAMES)
+    # The first and last minute come from the raw times: no need to select sources for that.
+    spans = [raw_mag.select(*keys, "time"), raw_plasma.select(*keys, "time")]
     if old_mag is not None and old_plasma is not None:
-        mag = anti_append(legacy_feed(old_mag, keys, MAG_COLS, MAG_NAMES), mag, keys, "time")
-        plasma = anti_append(legacy_feed(old_plasma, keys, list(PLASMA_NAMES.values()), {}), plasma, keys, "time")
-    solar = to_double(reindex([plasma, mag], keys, "time", STEP), SOLAR_COLS)
+        old_mag = legacy_feed(old_mag, keys, MAG_COLS, MAG_NAMES)
+        old_plasma = legacy_feed(old_plasma, keys, list(PLASMA_NAMES.values()), {})
+        spans += [old_mag.select(*keys, "time"), old_plasma.select(*keys, "time")]
+        mag = anti_append(old_mag, mag, keys, "time")
+        plasma = anti_append(old_plasma, plasma, keys, "time")
+    solar = to_double(reindex([plasma, mag], keys, "time", STEP, spans=spans), SOLAR_COLS)
     solar = mask_invalid(solar, ["density", "speed", "temperature"])
     # The repair looks at every minute several times: measure, mask, look around, fill.
     solar = staged(solar.select(*keys, "time", *SOLAR_COLS), "minutes")
