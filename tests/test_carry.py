@@ -160,6 +160,15 @@ def test_measured_width_shrinks_for_a_dense_bucket(spark):
     assert measured_width(dense, [], "time", 100) == "1 minute"
 
 
+def test_width_can_be_measured(spark):
+    pdf = series(3, n=300, days=3)
+    df = load(spark, {"a": pdf})
+    assert same(values(fill_gaps(df, ["k"], "time", ["v"], "full", None), "a"), pdf.v.interpolate().ffill().bfill())
+    assert same(values(mask_outliers(df, ["k"], "time", ["v"], width=None), "a"), masked(pdf.v))
+    assert tail_rows(df, 10, "time", ["k"], None).count() == 10
+    assert positions(df, ["k"], "time", None).agg(F.max("pos")).first()[0] == 299
+
+
 def test_asof(spark, frame):
     solar = frame(
         "time TIMESTAMP_NTZ, x DOUBLE",

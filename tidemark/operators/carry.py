@@ -4,7 +4,8 @@ A series is cut into (key, time bucket) groups. Each group is windowed on its ow
 summary per group carries what neighbours need across the cut. Only the summary is windowed per
 key, and its length is the calendar span over the bucket width, whatever the row count. A group
 holds at most width / resolution rows because (key, time) is unique, so one hot series spreads
-over many tasks.
+over many tasks. Where the resolution of a feed is not known, width=None measures the densest
+bucket and picks a width that keeps every group small.
 
 Keys and time are the primary key of a series: both are non-null and together unique.
 """
@@ -72,10 +73,10 @@ def _over_sql(keys: list[str], order: list[str]) -> str:
 
 
 def positions(
-    df: DataFrame, keys: list[str], time: str, width: str = "1 day", out: str = "pos"
+    df: DataFrame, keys: list[str], time: str, width: str | None = "1 day", out: str = "pos"
 ) -> DataFrame:
     """Adds the dense 0-based row position inside each series."""
-    rows = in_buckets(df, keys, time, width)
+    rows = in_buckets(df, keys, time, width or measured_width(df, keys, time))
     parts = rows.repartition(*keys, BUCKET)
     base = (
         rows.groupBy(*keys, BUCKET)
@@ -108,10 +109,10 @@ def spread_with_halo(df: DataFrame, keys: list[str], time: str, width: str, step
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], time: str, cols: list[str], width: str = "1 day", prefix: str = "prev_"
+    df: DataFrame, keys: list[str], time: str, cols: list[str], width: str | None = "1 day", prefix: str = "prev_"
 ) -> DataFrame:
     """Adds the previous row's value of each column (NULL where that value is NULL)."""
-    parts = spread(df, keys, time, width)
+    parts = spread(df, keys, time, width or measured_width(df, keys, time))
     return _with_previous(parts, keys, time, cols, prefix).drop(BUCKET)
 
 
@@ -128,7 +129,7 @@ def _with_previous(parts: DataFrame, keys: list[str], time: str, cols: list[str]
 
 
 def rate_of_change(
-    df: DataFrame, keys: list[str], time: str, cols: list[str], width: str = "1 day", suffix: str = "_roc"
+    df: DataFrame, keys: list[str], time: str, cols: list[str], width: str | None = "1 day", suffix: str = "_roc"
 ) -> DataFrame:
     """Adds abs(x - previous row's x); NULL when either is NULL."""
     out = with_previous(df, keys, time, cols, width, prefix="_p_")
@@ -143,7 +144,7 @@ def fill_gaps(
     time: str,
     cols: list[str],
     how: str = "full",
-    width: str = "1 day",
+    width: str | None = "1 day",
     position: Column | None = None,
     tie_break: str | None = None,
 ) -> DataFrame:
@@ -154,7 +155,7 @@ def fill_gaps(
     backward for the leading NULLs. `position` replaces the counted row position when the rows lie
     on a regular grid, which saves the counting pass.
     """
-    parts = spread(df, keys, time, width)
+    parts = spread(df, keys, time, width or measured_width(df, keys, time))
     return _fill(parts, keys, time, cols, how, position, tie_break).drop(BUCKET)
 
 
@@ -222,7 +223,7 @@ def _across_sql(keys: list[str], direction: str) -> str:
 
 
 def tail_rows(
-    df: DataFrame, n: int, time: str, keys: list[str] | None = None, width: str = "30 days"
+    df: DataFrame, n: int, time: str, keys: list[str] | None = None, width: str | None = "30 days"
 ) -> DataFrame:
     """The newest `n` rows of each series, by row count.
 
@@ -230,6 +231,7 @@ def tail_rows(
     input per key is about `n` rows plus one bucket.
     """
     keys = keys or []
+    width = width or measured_width(df, keys, time)
     marked = df.withColumn(BUCKET, bucket_number(F.col(time), width))
     counts = marked.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
     newer = F.coalesce(F.sum("_n").over(_across(keys, newest_first=True)), F.lit(0))

@@ -14,6 +14,7 @@ from .carry import (
     _with_previous,
     grid_position,
     in_buckets,
+    measured_width,
     spread,
     spread_with_halo,
 )
@@ -54,7 +55,7 @@ def mask_outliers(
     time: str,
     cols: list[str],
     q: float = 0.97,
-    width: str = "1 day",
+    width: str | None = "1 day",
     step: str | None = None,
     thresholds: DataFrame | None = None,
     approx: bool = False,
@@ -65,6 +66,7 @@ def mask_outliers(
     values across buckets. `thresholds` (keys + one column per value column) replaces the measured
     quantiles, for incremental runs that must use the published ones.
     """
+    width = width or measured_width(df, keys, time)
     return _mask_outliers(df, keys, time, cols, q, width, step, thresholds, approx).drop(BUCKET)
 
 
@@ -89,14 +91,14 @@ def _mask_outliers(
         parts = spread(df, keys, time, width)
         before = _with_previous(parts, keys, time, cols, "_p_")
     moved = before.selectExpr(*given, BUCKET, *[f"abs(`{c}` - `_p_{c}`) AS `_r_{c}`" for c in cols])
+    # One row per (key, bucket), so that per-key values reach the rows over a well-spread key.
+    spine = in_buckets(df, keys, time, width).select(*keys, BUCKET).distinct() if keys else None
     if thresholds is None:
-        measured = moved.selectExpr(*[f"`{k}`" for k in keys], *[f"`_r_{c}` AS `{c}`" for c in cols])
-        thresholds = quantiles(measured, keys, cols, q, approx)
+        measured = moved.selectExpr(*[f"`{k}`" for k in keys], BUCKET, *[f"`_r_{c}` AS `{c}`" for c in cols])
+        thresholds = quantiles(measured, keys, cols, q, approx, spine)
     if keys:
-        # One row per (key, bucket), so the detail rows join on a well-spread key.
         limits = thresholds.selectExpr(*[f"`{k}`" for k in keys], *[f"`{c}` AS `_q_{c}`" for c in cols])
-        limits = in_buckets(df, keys, time, width).select(*keys, BUCKET).distinct().join(limits, keys)
-        limited = moved.join(limits, [*keys, BUCKET], "left")
+        limited = moved.join(spine.join(limits, keys), [*keys, BUCKET], "left")
     else:
         row = thresholds.select(F.struct(*cols).alias("q")).scalar()
         limited = moved.withColumn("_q", row).selectExpr("*", *[f"_q.`{c}` AS `_q_{c}`" for c in cols])
@@ -114,12 +116,13 @@ def mask_and_fill(
     time: str,
     cols: list[str],
     q: float = 0.97,
-    width: str = "1 day",
+    width: str | None = "1 day",
     step: str | None = None,
     thresholds: DataFrame | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """Outlier mask followed by the full gap fill, on one exchange of the rows."""
+    width = width or measured_width(df, keys, time)
     masked = _mask_outliers(df, keys, time, cols, q, width, step, thresholds, approx)
     position = grid_position(time, step) if step else None
     return _fill(masked, keys, time, cols, "full", position).drop(BUCKET)

@@ -1,69 +1,100 @@
 """Exact quantiles without a per-key value map.
 
-Every value falls into a bin of a fixed monotone scale. Bin counts (combined map-side) locate the
-bin holding the wanted rank; only the values of that bin are counted individually and ranked.
-Repeated values collapse into one counted row, so neither a hot key nor a hot value is gathered.
+Every value falls into a bin of a fixed monotone scale. Bin counts, combined map-side, locate the
+bin that holds the wanted rank; only the values of that bin are counted one by one and ranked.
+Repeated values collapse into one counted row before any exchange, so neither a hot key nor a hot
+value is gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS_PER_UNIT = 1024
 
 
-def _bin(value: Column) -> Column:
-    size = F.floor(F.log1p(F.abs(value)) * BINS_PER_UNIT).cast("bigint")
-    return F.when(value < 0, -size - 1).otherwise(size)
+def _bin(value: str) -> str:
+    """A monotone whole-number scale: fine near zero, logarithmic further out."""
+    size = f"CAST(floor(log1p(abs({value})) * {BINS_PER_UNIT}) AS BIGINT)"
+    return f"CASE WHEN {value} < 0 THEN -{size} - 1 ELSE {size} END"
 
 
-def long_form(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("x")) for c in cols])
-    return df.select(*keys, F.inline(pairs).alias("_col", "_x")).where(F.col("_x").isNotNull())
+def _long(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """(keys, _col, _x) for every non-NULL value; negative zero counts as zero."""
+    pairs = ", ".join(f"struct('{c}' AS _col, CAST({e} AS DOUBLE) + 0.0D AS _x)" for c, e in values.items())
+    return df.selectExpr(*_names(keys), f"inline(array({pairs}))").where("_x IS NOT NULL")
 
 
-def quantile_long(df: DataFrame, keys: list[str], cols: list[str], q: float) -> DataFrame:
-    """(keys, _col, _q): the q-quantile of each column, linearly interpolated, NULLs ignored."""
-    values = long_form(df, keys, cols).withColumn("_x", F.col("_x") + F.lit(0.0)).withColumn("_bin", _bin(F.col("_x")))
-    group = [*keys, "_col"]
-    by_bin = values.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    upto = F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = by_bin.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(whole))
-    at = (F.col("_all") - 1) * F.lit(float(q))
-    low = F.floor(at).cast("bigint")
-    high = F.least(low + 1, F.col("_all") - 1)
-    ranked = ranked.withColumn("_below", F.col("_upto") - F.col("_n"))
-    holds = lambda r: (F.col("_below") <= r) & (r < F.col("_upto"))
-    targets = ranked.where(holds(low) | holds(high)).select(
-        *group, "_bin", "_below", low.alias("_low"), high.alias("_high"), (at - F.floor(at)).alias("_t")
-    )
-    # At most two target bins per group, so copying their few columns onto the hits is cheap.
-    counted = (
-        values.join(targets, [*group, "_bin"])
-        .groupBy(*group, "_bin", "_x", "_below", "_low", "_high", "_t")
-        .agg(F.count("*").alias("_n"))
-    )
-    in_bin = Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("_upto", F.col("_below") + F.sum("_n").over(in_bin)).withColumn(
-        "_from", F.col("_upto") - F.col("_n")
+def _names(cols: list[str]) -> list[str]:
+    return [f"`{c}`" for c in cols]
+
+
+def _targets(by_bin: DataFrame, group: list[str], q: float) -> DataFrame:
+    """The one or two bins per group that hold the ranks on both sides of the quantile."""
+    part = f"PARTITION BY {', '.join(_names(group))}"
+    ranked = by_bin.selectExpr(
+        "*",
+        f"sum(_n) OVER ({part} ORDER BY _bin ROWS UNBOUNDED PRECEDING) AS _upto",
+        f"sum(_n) OVER ({part}) AS _all",
     )
-    hit = lambda r: F.when((F.col("_from") <= F.col(r)) & (F.col(r) < F.col("_upto")), F.col("_x"))
-    ends = counted.groupBy(*group).agg(
-        F.max(hit("_low")).alias("_a"), F.max(hit("_high")).alias("_b"), F.max("_t").alias("_t")
+    at = f"(_all - 1) * {float(q)!r}D"
+    placed = ranked.selectExpr(
+        *_names(group), "_bin", "_upto", "_upto - _n AS _below", "_all", f"CAST(floor({at}) AS BIGINT) AS _low", f"{at} - floor({at}) AS _t"
+    ).selectExpr("*", "least(_low + 1, _all - 1) AS _high")
+    holds = " OR ".join(f"(_below <= {r} AND {r} < _upto)" for r in ("_low", "_high"))
+    return placed.where(holds).drop("_upto", "_all")
+
+
+def quantile_long(
+    df: DataFrame, keys: list[str], cols: list[str], q: float, spine: DataFrame | None = None
+) -> DataFrame:
+    """(keys, _col, _q): the q-quantile of each column, linearly interpolated, NULLs ignored.
+
+    `spine` lists the distinct (key, bucket) pairs of a frame that is clustered by them: the wanted
+    bins then reach the rows over those pairs instead of over the key alone.
+    """
+    group = [*keys, "_col"]
+    if keys and spine is None:
+        counted = _long(df, keys, {c: f"`{c}`" for c in cols}).groupBy(*group, "_x").agg(F.count("*").alias("_n"))
+        counted = counted.selectExpr("*", f"{_bin('_x')} AS _bin")
+        targets = _targets(counted.groupBy(*group, "_bin").agg(F.sum("_n").alias("_n")), group, q)
+    else:
+        binned = _long(df, keys, {c: f"`{c}`" for c in cols}).selectExpr(*_names(group), f"{_bin('_x')} AS _bin")
+        targets = _targets(binned.groupBy(*group, "_bin").agg(F.count("*").alias("_n")), group, q)
+        edges = targets.groupBy(*keys).agg(
+            *[F.expr(f"{f}(CASE WHEN _col = '{c}' THEN _bin END) AS `_{f}_{c}`") for c in cols for f in ("min", "max")]
+        )
+        if keys:
+            near = df.join(spine.join(edges, keys), spine.columns)
+        else:
+            row = edges.select(F.struct("*")).scalar()
+            near = df.withColumn("_e", row).selectExpr("*", "_e.*")
+        # No bin between the two wanted ones is occupied.
+        inside = {c: f"CASE WHEN {_bin(f'`{c}`')} BETWEEN `_min_{c}` AND `_max_{c}` THEN `{c}` END" for c in cols}
+        counted = _long(near, keys, inside).groupBy(*group, "_x").agg(F.count("*").alias("_n"))
+        counted = counted.selectExpr("*", f"{_bin('_x')} AS _bin")
+    part = ", ".join(_names([*group, "_bin"]))
+    hits = counted.join(targets, [*group, "_bin"]).selectExpr(
+        "*", f"_below + sum(_n) OVER (PARTITION BY {part} ORDER BY _x ROWS UNBOUNDED PRECEDING) AS _upto"
     )
-    gap = F.col("_b") - F.col("_a")
+    at = lambda r: f"max(CASE WHEN _upto - _n <= {r} AND {r} < _upto THEN _x END)"
+    ends = hits.groupBy(*group).agg(F.expr(f"{at('_low')} AS _a"), F.expr(f"{at('_high')} AS _b"), F.max("_t").alias("_t"))
     # Interpolated from the nearer end, as array libraries do.
-    value = F.when(F.col("_t") >= 0.5, F.col("_b") - gap * (1 - F.col("_t"))).otherwise(F.col("_a") + gap * F.col("_t"))
-    return ends.select(*group, value.alias("_q"))
+    value = "CASE WHEN _t >= 0.5D THEN _b - (_b - _a) * (1 - _t) ELSE _a + (_b - _a) * _t END AS _q"
+    return ends.selectExpr(*_names(group), value)
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], cols: list[str], q: float = 0.97, approx: bool = False
+    df: DataFrame,
+    keys: list[str],
+    cols: list[str],
+    q: float = 0.97,
+    approx: bool = False,
+    spine: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with the q-quantile of each column under the column's name."""
     if approx:
         return df.groupBy(*keys).agg(*[F.percentile_approx(c, q, 10000).alias(c) for c in cols])
-    tall = quantile_long(df, keys, cols, q)
-    return tall.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_q"))).alias(c) for c in cols])
+    tall = quantile_long(df, keys, cols, q, spine)
+    return tall.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _col = '{c}' THEN _q END) AS `{c}`") for c in cols])
