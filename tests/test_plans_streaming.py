@@ -1,15 +1,20 @@
+import json
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.buckets import complete_bucket_mean
+from tidemark.operators.merge import land_documents
 from tidemark.operators.sequences import LinearScorer
 from tidemark.plans.features import FEATURE_COLS
 from tidemark.plans.indices import clean_feed, clean_index
+from tidemark.plans.jobs import run
 from tidemark.plans.solar import clean_solar
 from tidemark.plans.transform import publish_all, transform
-from tidemark.schemas import SERVING
-from tidemark.streaming.incremental import cadence, refresh_buckets, stream_bucket_mean, stream_dedupe, upsert_stream, write_table
+from tidemark.schemas import MAG_COLS, PLASMA_COLS, SERVING
+from tidemark.streaming.incremental import cadence, refresh_buckets, refresh_join, stream_bucket_mean, stream_dedupe, upsert_stream, write_table
 
 BASE = "2026-01-01"
 
@@ -116,6 +121,69 @@ def test_whole_transform_and_publication(spark, frame, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/metadata").first().last_synced.day == 4
 
 
+def test_batch_run_from_documents(spark, tmp_path):
+    """Documents to serving tables: primary forms, every fallback form, a failed feed, a second run."""
+    landing, raw, serving = (str(tmp_path / n) for n in ("landing", "raw", "serving"))
+
+    def put(feed, kind, payload, name="1.json"):
+        folder = tmp_path / "landing" / feed / kind
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(payload if isinstance(payload, str) else json.dumps(payload))
+
+    mag, plasma = feeds(spark, 28 * 60)
+    for feed, df, cols in (("mag", mag, MAG_COLS), ("plasma", plasma, PLASMA_COLS)):
+        records = [r.asDict() for r in df.collect()]
+        put(feed, "primary", records[:900])
+        put(feed, "primary", [list(records[0]), *[list(r.values()) for r in records[900:]]], "2.json")
+        assert set(cols) < set(records[0])
+    put("dst", "primary", "")  # an empty answer: the fixed-width fallback serves
+    fields = "".join(str(-h).rjust(4) for h in range(24))
+    put("dst", "fallback", f"<html>\nDST2601*01RRX020   {'   0'}{fields}   1\n", "dst.txt")
+    put("kp", "primary", [{"time_tag": "2026-01-01T00:00:00", "wrong": 1}])
+    put("kp", "fallback", {"datetime": ["2026-01-01T00:00:00Z", "2026-01-01T03:00:00Z"], "Kp": [2.0, 4.0]})
+    put("ssn", "fallback", {"international_sunspot_number": {"samples": [{"time": "2026 01 01", "ssn": 7.0}]}})
+    put("smoothed_ssn", "fallback", [{"time_tag": "2025-12", "smoothed_ssn": 57.9}])
+    scorer = LinearScorer(np.zeros((24, 15)), 0.0)
+
+    def go(day):
+        now = F.lit(f"2026-01-{day:02d}").cast("timestamp_ntz")
+        return run(spark, landing, raw, serving, scorer, now=now, length=24)
+
+    assert set(go(3).values()) == {"landed"}
+    assert {r.dst_predictions for r in spark.read.parquet(f"{serving}/dst_predictions").collect()} == {-8.0}
+    assert sorted(r.Kp for r in spark.read.parquet(f"{serving}/kp").collect()) == [2.0, 4.0]
+    assert spark.read.parquet(f"{serving}/dst").count() == 24 and spark.read.parquet(f"{serving}/ssn").first().swpc_ssn == 7.0
+    shutil.rmtree(tmp_path / "landing" / "kp")
+    outcome = go(4)
+    assert outcome.pop("kp") == "failed" and set(outcome.values()) == {"landed"}
+    for name in SERVING:  # nothing changed, the failed feed is served from what landed before
+        table = spark.read.parquet(f"{serving}/{name}")
+        assert table.count() > 0 and table.where("updated_at > timestamp_ntz'2026-01-03'").isEmpty()
+
+
+def test_documents_land_by_form(spark, tmp_path):
+    lists = json.dumps([["t", "v"], ["2026-01", 1], ["2026-02", 2]])
+    newer = json.dumps([["v", "t"], [9, "2026-02"]])
+    dicts = json.dumps([{"t": "2026-01-05", "v": 1}, {"t": "2026-01-05", "v": 2}])
+    fields = {"t": "string", "v": "double"}
+    for doc in (lists, newer, dicts):
+        land_documents(spark, str(tmp_path), spark.createDataFrame([(doc,)], "p string"), "p", fields, ["t"], "t", True)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/lists").collect()) == [("2026-01", 1.0), ("2026-02", 9.0)]
+    assert [r.v for r in spark.read.parquet(f"{tmp_path}/dicts").collect()] == [2.0]
+
+
+def test_small_join_is_rebuilt_whole(spark, frame, tmp_path):
+    pred, obs, out = (f"{tmp_path}/{n}" for n in ("pred", "obs", "out"))
+    hook = refresh_join(spark, pred, obs, out)
+    frame("time TIMESTAMP_NTZ, dst_predictions DOUBLE", [("2026-01-01", 1.0), ("2026-01-02", 2.0)]).write.parquet(pred)
+    hook(None)
+    for value in (5.0, 6.0):
+        frame("time TIMESTAMP_NTZ, dst DOUBLE", [("2026-01-01", value)]).write.mode("overwrite").parquet(obs)
+        hook(None)
+        rows = spark.read.parquet(out).orderBy("time").collect()
+        assert [(r.dst_predictions, r.dst) for r in rows] == [(1.0, value), (2.0, None)]
+
+
 def write_minutes(spark, folder, part, lo, hi, value):
     rows = spark.range(lo, hi).select(F.lit("a").alias("k"), clock(F.col("id")).alias("time"), (F.col("id") % 60 * value).alias("v"), F.col("id").alias("seq"))
     rows.coalesce(1).write.parquet(f"{folder}/{part}")

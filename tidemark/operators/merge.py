@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import month_key
+from ..sources.payloads import DICTS, LISTS, dict_rows, list_rows, sniff
 from ..sources.tables import list_partitions
 
 MONTH = "month"
@@ -100,6 +101,25 @@ def land_single(
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
+def land_documents(
+    spark: SparkSession,
+    path: str,
+    docs: DataFrame,
+    payload: str,
+    fields: dict[str, str],
+    keys: list[str],
+    time: str,
+    partitioned: bool,
+) -> None:
+    """Landing by payload form: header-row lists merge into {path}/lists, records into {path}/dicts."""
+    form = sniff(F.col(payload))
+    lists, dicts = docs.where(form == LISTS), docs.where(form == DICTS)
+    if not lists.isEmpty():
+        land_single(spark, f"{path}/lists", list_rows(lists, payload, fields), keys, "seq")
+    if not dicts.isEmpty():
+        land(spark, f"{path}/dicts", dict_rows(dicts, payload, fields), keys, time, partitioned, "seq")
+
+
 def land(
     spark: SparkSession,
     path: str,

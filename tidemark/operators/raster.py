@@ -55,13 +55,13 @@ def rasterise(
     cells = points.select(*keys, x.alias("x"), y.alias("y"), byte.alias("v"), F.col(seq).alias("_s"))
     cells = cells.groupBy(*keys, "y", "x").agg(F.max_by("v", "_s").alias("v"))
     # At most `width` cells per row.
-    drawn = cells.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("m"))
+    drawn = cells.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", F.lit(0).alias("missing"), "v")).alias("seen"))
     rows = points.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    spots = F.sequence(F.lit(0), F.lit(width - 1))
-    dense = F.transform(spots, lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    empty = F.array_repeat(F.lit(0.0), width)
+    blank = F.expr(f"transform(sequence(0, {width - 1}), x -> struct(x AS x, 1 AS missing, 0.0D AS v))")
+    ordered = F.array_sort(F.concat(F.coalesce("seen", F.slice(blank, 1, 0)), blank))
+    first_per_x = lambda all_: F.filter(all_, lambda c, i: (i == 0) | (c["x"] != F.get(all_, i - 1)["x"]))
     return rows.join(drawn, [*keys, "y"], "left").select(
-        *keys, "y", F.when(F.col("m").isNull(), empty).otherwise(dense).alias("cells"), F.col("m").isNotNull().alias("populated")
+        *keys, "y", _let(ordered, first_per_x).getField("v").alias("cells"), F.col("seen").isNotNull().alias("populated")
     )
 
 

@@ -50,6 +50,14 @@ def list_rows(df: DataFrame, payload: str, fields: dict[str, str], keep: list[st
     return table.select(*keep, "seq", *[pick(n).cast(t).alias(n) for n, t in fields.items()])
 
 
+def seen_columns(df: DataFrame, payload: str) -> DataFrame:
+    """(col): every key of every record, or every header name, with repeats."""
+    marked = df.withColumn("_f", sniff(F.col(payload)))
+    records = marked.where(F.col("_f") == DICTS).select(F.explode(F.from_json(payload, "array<map<string,string>>")).alias("_r"))
+    headers = marked.where(F.col("_f") == LISTS).select(F.get(F.from_json(payload, "array<array<string>>"), F.lit(0)).alias("_h"))
+    return records.select(F.explode(F.map_keys("_r")).alias("col")).unionByName(headers.select(F.explode("_h").alias("col")))
+
+
 def payload_rows(df: DataFrame, payload: str, fields: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """Either array form; any other payload stops the job."""
     unknown = F.raise_error(F.concat(F.lit("unknown payload format: "), F.substring(payload, 1, 40)))

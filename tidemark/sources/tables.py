@@ -28,7 +28,7 @@ def list_partitions(spark: SparkSession, path: str, name: str) -> list[str]:
     return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{name}="))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The table, or an empty one of the same schema where nothing has landed yet."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -44,7 +44,7 @@ def read_last_partitions(spark: SparkSession, path: str, n: int | None = 2, name
     return table.where(F.col(name).cast("string") >= months[0])
 
 
-def read_legacy(spark: SparkSession, path: str, schema: StructType, recent_only: bool) -> DataFrame:
+def read_legacy(spark: SparkSession, path: str, schema: StructType | str, recent_only: bool) -> DataFrame:
     """A frozen legacy table; an incremental run does not read it at all."""
     if recent_only:
         return spark.createDataFrame([], schema)

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalar import round_mean
 from ..functions.timeparts import month_key
 from ..operators.buckets import SLOTS, recompute_touched, slots_seen
+from ..operators.grid import left_join_predictions
 from ..operators.merge import last_wins
 from ..operators.publish import MONTH, REFRESH_SECONDS, drop_partitions, publish
-from ..sources.tables import list_partitions
+from ..sources.tables import exists, list_partitions
 
 
 def event_time(df: DataFrame, time: str) -> DataFrame:
@@ -105,6 +106,21 @@ def refresh_buckets(
     return refresh
 
 
+def refresh_join(spark: SparkSession, predictions: str, observed: str, published: str) -> Callable[[DataFrame], None]:
+    """An `after` hook that rebuilds the small predictions-with-observations table whole."""
+
+    def refresh(_: DataFrame) -> None:
+        if not (exists(spark, predictions) and exists(spark, observed)):
+            return
+        left = spark.read.parquet(predictions).select("time", "dst_predictions")
+        right = spark.read.parquet(observed).select("time", "dst")
+        left_join_predictions(left, right, [], "time").write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).parquet(published)
+
+    return refresh
+
+
 def write_table(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append-mode file sink, run to the end of the available input."""
     return (
