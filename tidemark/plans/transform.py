@@ -33,7 +33,8 @@ def transform(
         "dst": clean_feed("dst", feeds["dst"], keys),
         "kp": clean_feed("kp", feeds["kp"], keys),
         "ssn": clean_feed("ssn", feeds["ssn"], keys),
-        "dst_predictions": predict(features, scorer, keys, length=length),
+        # Publishing looks for the newest row and the touched months first; score only once.
+        "dst_predictions": staged(predict(features, scorer, keys, length=length), "predictions"),
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FEATURE_STATS, denormalise, dynamic_pressure, normalise, round_half_even
@@ -12,8 +13,10 @@ from ..operators.carry import fill_gaps, rate_of_change, tail_rows
 from ..operators.clean import mask_and_fill, mask_invalid, mask_outliers, minute_boundary, project, to_double
 from ..operators.grid import anti_append, left_join_predictions, outer_join_series, overlay, regular_grid
 from ..operators.quantile import quantiles
+from ..operators.sequences import LinearScorer
 from ..operators.select_source import first_valid_by_priority, select_source, source_rank
 from ..plans.indices import clean_index
+from ..plans.predict import predict
 from ..plans.solar import clean_solar
 from ..plans.features import FEATURE_COLS, prepare_features
 from ..plans.views import any_data, chart_points
@@ -410,8 +413,30 @@ def _feature_sql():
 SELECT date_trunc('hour', time) AS time, {out} FROM n GROUP BY 1 HAVING count(speed) = 60"""
 
 
+def _features(spark, sf):
+    solar = staged(solar_series(spark, sf), "solar")
+    return prepare_features(solar, _smoothed(spark, sf), emit_empty=False)
+
+
+_DAY = 24
+
+
+@query(
+    "solar_predictions",
+    f"""WITH {solar_ctes()}, hours AS (
+  SELECT date_trunc('hour', time) AS time, avg((speed - 410.43::DOUBLE) / 128.55::DOUBLE) AS v FROM solar
+  WHERE time >= (SELECT date_trunc('week', min(ts)) FROM ev) GROUP BY 1 HAVING count(speed) = 60), q AS (
+  SELECT time, list(v) OVER (ORDER BY time ROWS BETWEEN {_DAY - 1} PRECEDING AND CURRENT ROW) AS vs FROM hours)
+SELECT time + INTERVAL 1 HOUR AS time, round(list_sum(vs) / {_DAY} * 19 - 8, 2) AS dst_predictions FROM q WHERE len(vs) = {_DAY}""",
+)
+def solar_predictions(spark, sf):
+    """Raw feeds to predictions, with a scorer that averages the last day of normalised speed."""
+    weights = np.zeros((_DAY, len(FEATURE_COLS)))
+    weights[:, FEATURE_COLS.index("speed_mean")] = 1.0 / _DAY
+    return predict(staged(_features(spark, sf), "features"), LinearScorer(weights), length=_DAY)
+
+
 @query("feature_table", _feature_sql())
 def feature_table(spark, sf):
-    solar = staged(solar_series(spark, sf), "solar")
-    features = prepare_features(solar, _smoothed(spark, sf), emit_empty=False)
+    features = _features(spark, sf)
     return features.select("time", *[F.round(c, 6).alias(c) for c in FEATURE_COLS])

@@ -489,3 +489,20 @@ def key_sets(spark, sf):
     shipped = A.table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("time")).distinct()
     sides = {"both": ordered.intersect(shipped), "orders_only": ordered.subtract(shipped)}
     return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("side"), "time") for n, d in sides.items()])
+
+
+@query("multi_sort", "SELECT o_orderdate, o_orderpriority, o_orderkey FROM orders ORDER BY o_orderdate, o_orderpriority DESC, o_orderkey")
+def multi_sort(spark, sf):
+    rows = A.table(spark, sf, "orders").select("o_orderdate", "o_orderpriority", "o_orderkey")
+    return rows.orderBy(F.asc("o_orderdate"), F.desc("o_orderpriority"), F.asc("o_orderkey"))
+
+
+@query(
+    "union_all",
+    """SELECT o_orderdate AS time, o_totalprice AS amount FROM orders
+UNION ALL SELECT l_shipdate, l_extendedprice FROM lineitem""",
+)
+def union_all(spark, sf):
+    orders = A.table(spark, sf, "orders").select(F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("amount"))
+    items = A.table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("time"), F.col("l_extendedprice").alias("amount"))
+    return orders.unionByName(items)
