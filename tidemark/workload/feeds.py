@@ -17,7 +17,6 @@ from ..sources.payloads import (
     nested_samples,
     parallel_rows,
     payload_rows,
-    read_dicts,
     rename_mirror,
     sniff,
 )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_even
 from ..operators.carry import fill_gaps
 from ..operators.raster import blur, fill_rows, grid_points, grid_summary, polar_smooth, rasterise
 from ..operators.sequences import LinearScorer, score_batches, score_sequences, sequences
