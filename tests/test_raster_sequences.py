@@ -1,4 +1,8 @@
 import math
+import os
+import pathlib
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -9,6 +13,7 @@ from tidemark.operators.raster import blur, fill_rows, polar_smooth, rasterise,
 from tidemark.operators.sequences import LinearScorer, OnnxScorer, score_batches, score_sequences, sequences
 from tidemark.plans.predict import predict
 
+ROOT = str(pathlib.Path(__file__).resolve().parents[1])
 W, H = 360, 181
 
 
@@ -154,3 +159,20 @@ def test_onnx_scorer(spark, tmp_path):
     cells = df.orderBy("time").toPandas()[["x", "y"]].to_numpy()
     want = [cells[i - 23 : i + 1].mean() for i in range(23, 60)]
     assert np.allclose([r.score for r in scored], want, rtol=1e-5)
+
+
+def test_scoring_needs_no_installed_package(tmp_path):
+    """Workers started elsewhere, without this package on their path, can still score."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import numpy as np
+from tidemark.operators.sequences import LinearScorer, score_sequences
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.range(30).selectExpr("'a' AS k", "timestamp_ntz'2026-01-01' + make_dt_interval(0, CAST(id AS INT)) AS time", "id * 1.0D AS x")
+print("rows", score_sequences(df, ["k"], "time", ["x"], LinearScorer(np.ones((24, 1))), 24, 24).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 7" in done.stdout, done.stderr[-2000:]

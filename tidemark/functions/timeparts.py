@@ -20,6 +20,11 @@ def epoch_seconds(ts: Column) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def epoch_millis(ts: Column) -> Column:
+    parts = F.floor(F.date_part(F.lit("SECOND"), ts) * 1000).cast("bigint")
+    return epoch_seconds(ts) * 1000 + F.pmod(parts, F.lit(1000))
+
+
 def from_epoch_seconds(seconds: Column) -> Column:
     day = F.floor(seconds / 86400).cast("int")
     rest = F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)")

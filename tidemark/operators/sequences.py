@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from .carry import positions
 
 BLOCK = "_block"
 
+# Python workers get this package's scorers with the task, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 
 def _blocks(df: DataFrame, keys: list[str], time: str, length: int, block: int, width: str) -> DataFrame:
     """Rows in blocks of `block` positions, each led by the last length-1 rows of the one before.
@@ -59,21 +65,24 @@ class LinearScorer:
 
 
 class OnnxScorer:
-    """Scores with an ONNX model; the session is opened once per Python worker."""
-
-    _sessions: dict = {}
+    """Scores with an ONNX model; `path` must be readable by every executor."""
 
     def __init__(self, path: str, input_name: str = "input_layer:0"):
         self.path, self.input_name = path, input_name
 
     def __call__(self, batch: np.ndarray) -> np.ndarray:
-        session = OnnxScorer._sessions.get(self.path)
-        if session is None:
-            import onnxruntime
-
-            session = OnnxScorer._sessions[self.path] = onnxruntime.InferenceSession(self.path)
         feed = {self.input_name: np.ascontiguousarray(batch, dtype=np.float32)}
-        return np.asarray(session.run(None, feed)[0]).reshape(-1)
+        return np.asarray(_session(self.path).run(None, feed)[0]).reshape(-1)
+
+
+def _session(path: str):
+    """The open model, once per Python worker: the cache outlives the pickled scorer."""
+    import onnxruntime
+
+    cache = sys.modules.setdefault("_tidemark_models", types.ModuleType("_tidemark_models")).__dict__
+    if path not in cache:
+        cache[path] = onnxruntime.InferenceSession(path)
+    return cache[path]
 
 
 def score_sequences(

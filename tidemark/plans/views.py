@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import unit_scale
 from ..functions.severity import AURORA, BZ, DST, KP, SPEED, band, classify
+from ..functions.timeparts import epoch_millis
 from ..operators.buckets import monthly_mean
 from ..operators.carry import latest_row
 from ..operators.clean import project
@@ -58,7 +59,7 @@ def any_data(rows: DataFrame, cols: list[str]) -> DataFrame:
 
 def chart_points(rows: DataFrame, col: str, time: str = "time", keys: list[str] | None = None) -> DataFrame:
     """(epoch milliseconds, value or NULL): a gap is never drawn as zero."""
-    return rows.select(*(keys or []), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"), F.col(col).alias("value"))
+    return rows.select(*(keys or []), epoch_millis(F.col(time)).alias("ms"), F.col(col).alias("value"))
 
 
 def chart_temperature(rows: DataFrame) -> DataFrame:
