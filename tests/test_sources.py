@@ -93,7 +93,7 @@ def test_fixed_width(spark):
 
 
 def test_marker(spark):
-    mark = "**** SPACE WEATHER OUTLOOK ****"
+    mark = "**** OUTLOOK ****"
     texts = [f"head {mark} one {mark}\n two \n", "  plain ", f"x{mark}  ", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(after_marker(F.col("t"), mark, "none")).collect()] == ["two", "plain", "none", "none", "none"]

@@ -98,6 +98,16 @@ def test_publish_trims_and_is_idempotent(spark, frame, tmp_path):
     assert [r.last_synced.day for r in spark.read.parquet(str(tmp_path / "meta")).collect()] == [17]
 
 
+def test_publish_of_nothing(spark, frame, tmp_path):
+    path = str(tmp_path / "empty")
+    nothing = frame(SERVED, [("2026-01-01", 1.0, 1.0)]).where("false")
+    publish(spark, path, nothing, ["time"], ["a", "b"], stamp("2026-02-01"), keep="1 year")
+    assert list_partitions(spark, path, "month") == []
+    publish(spark, path, frame(SERVED, [("2026-01-01", 1.0, 1.0)]), ["time"], ["a", "b"], stamp("2026-02-01"))
+    publish(spark, path, nothing, ["time"], ["a", "b"], stamp("2026-03-01"), keep="1 year")
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_change_feed_and_delta_merge(frame):
     table = frame(SERVED, [("2026-01-01", 1.0, 1.0), ("2026-03-01", 2.0, 2.0), ("2026-03-02", 3.0, 3.0)]).withColumn(
         "updated_at", F.when(F.col("a") == 3, stamp("2026-03-05")).otherwise(stamp("2026-03-04"))

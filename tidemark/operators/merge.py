@@ -89,7 +89,10 @@ def _month_of(df: DataFrame, time: str) -> Column:
 def land_single(
     spark: SparkSession, path: str, new: DataFrame, keys: list[str], seq: str | None = None
 ) -> None:
-    """Merge into an unpartitioned raw table, through a staged copy swapped in by a second write."""
+    """Merge into an unpartitioned raw table: the merged rows are staged whole, then replace it.
+
+    Should the replacing write fail, the staged copy still holds every row.
+    """
     from ..session import shared_folder
     from ..sources.tables import read_or_empty
 

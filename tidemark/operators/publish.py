@@ -117,6 +117,8 @@ def publish(
 def trim_table(spark: SparkSession, path: str, time: str, keep: str) -> None:
     """Retention on a month-partitioned table: whole old months go, the boundary month is rewritten."""
     months = list_partitions(spark, path, MONTH)
+    if not months:
+        return
     table = spark.read.parquet(path)
     top = table.where(F.col(MONTH) == months[-1]).agg(F.max(time).alias("t"))
     cutoff, month = top.select((F.col("t") - interval(keep)).alias("c")).select("c", month_key(F.col("c"))).first()

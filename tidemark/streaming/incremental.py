@@ -73,9 +73,14 @@ def upsert_stream(
 
     def write(batch: DataFrame, _: int) -> None:
         rows = last_wins(batch.select(*keys, *cols, *([seq] if seq else [])), keys, seq or F.lit(0))
-        publish(spark, table, rows, keys, cols, now if now is not None else F.localtimestamp(), time, keep)
-        if after is not None:
-            after(rows.select(*keys))
+        # Read by the month listing, the upsert and the hook; a lost block is recomputed.
+        rows = rows.persist()
+        try:
+            publish(spark, table, rows, keys, cols, now if now is not None else F.localtimestamp(), time, keep)
+            if after is not None:
+                after(rows.select(*keys))
+        finally:
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
