@@ -78,15 +78,20 @@ def byte_values(data: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(data, np.uint8)]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash and the first byte of every word `[^\\x20\\x09-\\x0D]+` of `data`."""
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hash, the first byte and the length of every word `[^\\x20\\x09-\\x0D]+` of `data`."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate(([False], _IS_WORD[raw], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    return sequence_hash(_BYTE[raw], starts, lengths), starts
+        return np.zeros(0, np.uint64), starts, lengths
+    return sequence_hash(_BYTE[raw], starts, lengths), starts, lengths
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word."""
+    return words_of(data)[:2]
 
 
 def rolling(values: np.ndarray, size: int) -> np.ndarray:
