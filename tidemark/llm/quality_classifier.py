@@ -1,9 +1,11 @@
 """Ordinal quality classifier: a cumulative-link regression on graded ratings.
 
 P(grade <= k) = logistic(threshold_k - score); the score adds one shared weight for every distinct
-hashed token of the text, the thresholds are ordered. Tokens are lower-cased words and a few style
-marks (shares of capitals, symbols and distinct words, in steps). The fit uses a bounded sample of
-the rated documents, in one task; scoring is a map over all documents.
+hashed token of the text, the thresholds are ordered. Tokens are the lower-cased words, their first
+bytes, the shapes of word ends (letters, digits and signs told apart) and a few style marks (shares
+of capitals, symbols and distinct words, in steps). The fit uses a bounded sample of the rated
+documents, in one task, and only tokens whose share differs clearly between grades; scoring is a map
+over all documents.
 """
 
 from __future__ import annotations
@@ -17,21 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, plain, sequence_hash, byte_values, word_hashes
+from .common import byte_values, col, mix, plain, sequence_hash, words_of
 from .quality_rules import SYMBOLS, UPPER
 
 GRADES = 3
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
+_SHAPE = bytes(97 if 97 <= c <= 122 or c >= 0x80 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+HEADS, TAIL = (4, 6), 4  # bytes of a word's beginnings and of its shape's end
 _CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 12_000  # rated documents that a fit reads at most
-    buckets: int = 1 << 17
-    least_texts: int = 3  # tokens in fewer sampled texts keep weight 0
-    rounds: int = 120
-    rate: float = 0.1
+    buckets: int = 1 << 20
+    clear: float = 4.5  # standard errors, at least, between a token's share in a grade and overall,
+    related: float = 0.15  # and the least correlation with the grade; other tokens keep weight 0
+    rounds: int = 1500
+    rate: float = 0.5
     shrink: float = 1e-5
 
 
@@ -66,16 +71,28 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             size += len(texts[end])
             end += 1
         some = texts[begin:end]
-        hashes, at = word_hashes(b" \n".join(x.translate(_PLAIN) for x in some))
-        owner = np.searchsorted(np.cumsum([len(x) + 2 for x in some]) - 1, at, side="right")
+        data = b"\n".join(some)
+        bounds = np.cumsum([len(x) + 1 for x in some])
+        lowered = data.translate(_PLAIN)
+        hashes, at, size_of = words_of(lowered)
+        owner = np.searchsorted(bounds, at, side="right")
         words = np.bincount(owner, minlength=len(some))
-        pair = np.unique(owner.astype(np.int64) * buckets + (hashes % np.uint64(buckets)).astype(np.int64))
-        distinct = np.bincount(pair // buckets, minlength=len(some))
+        whole = owner.astype(np.int64) * buckets + (hashes % np.uint64(buckets)).astype(np.int64)
+        distinct = np.bincount(np.unique(whole) // buckets, minlength=len(some))
+        parts = [whole]
+        for size in HEADS if len(at) else ():
+            head = mix(sequence_hash(byte_values(lowered), at, np.minimum(size_of, size)) + np.uint64(size))
+            parts.append(owner * buckets + (head % np.uint64(buckets)).astype(np.int64))
+        _, at, size_of = words_of(data)
+        if len(at):
+            last = np.minimum(size_of, TAIL)
+            tail = mix(sequence_hash(byte_values(data.translate(_SHAPE)), at + size_of - last, last))
+            parts.append(np.searchsorted(bounds, at, side="right") * buckets + (tail % np.uint64(buckets)).astype(np.int64))
         marks = [m for x, w, d in zip(some, words.tolist(), distinct.tolist(), strict=True) for m in _style(x, w, d)]
         lengths = np.array([len(m) for m in marks])
         mark = sequence_hash(byte_values(b"".join(marks)), np.cumsum(lengths) - lengths, lengths)
         marked = np.repeat(np.arange(len(some)), len(marks) // len(some)) * buckets + (mark % np.uint64(buckets)).astype(np.int64)
-        pair = np.concatenate((pair, marked))
+        pair = np.unique(np.concatenate((*parts, marked)))
         found.append(pair % buckets)
         owners.append(pair // buckets + begin)
         begin = end
@@ -89,16 +106,21 @@ def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings: Settings) -> Model:
     """Full-batch adaptive gradient steps; thresholds stay ordered as a start and positive gaps."""
-    frequent = np.bincount(index, minlength=settings.buckets) >= settings.least_texts
-    use = frequent[index]
-    index, owner = index[use], owner[use]
     count = max(1, len(grade))
+    of_grade = np.bincount(grade, minlength=GRADES)
+    met = np.stack([np.bincount(index[grade[owner] == k], minlength=settings.buckets) for k in range(GRADES)])
+    share = met.sum(axis=0) / count
+    spread = share * (1 - share) * (of_grade * (1 - of_grade / count))[:, None]
+    least = max(settings.clear, settings.related * np.sqrt(count))
+    apart = (np.abs(met - share * of_grade[:, None]) >= least * np.sqrt(spread)) & (spread > 0)
+    tokens, known = np.flatnonzero(apart.any(axis=0)), apart.any(axis=0)[index]
+    index, owner = np.searchsorted(tokens, index[known]), owner[known]
     at_most = np.cumsum(np.bincount(grade, minlength=GRADES)) / count
     cut = np.clip(at_most[:-1], 1e-3, 1 - 1e-3)
     thresholds = np.log(cut / (1 - cut)) + 1e-3 * np.arange(GRADES - 1)
     gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
-    base, weights = thresholds[0], np.zeros(settings.buckets)
-    memory, base_memory, gap_memory = np.full(settings.buckets, 1e-8), 1e-8, np.full(len(gaps), 1e-8)
+    base, weights = thresholds[0], np.zeros(len(tokens))
+    memory, base_memory, gap_memory = np.full(len(tokens), 1e-8), 1e-8, np.full(len(gaps), 1e-8)
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for _ in range(settings.rounds):
         thresholds = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
@@ -108,7 +130,7 @@ def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings
         mass = np.maximum(upper - lower, 1e-9)
         by_upper, by_lower = upper * (1 - upper) / mass / count, lower * (1 - lower) / mass / count
         push = by_upper - by_lower  # of the loss by the score
-        slope = np.bincount(index, weights=push[owner], minlength=settings.buckets) + settings.shrink * weights
+        slope = np.bincount(index, weights=push[owner], minlength=len(tokens)) + settings.shrink * weights
         at = np.bincount(np.minimum(grade, GRADES - 2), weights=np.where(grade < GRADES - 1, -by_upper, 0), minlength=GRADES - 1)
         at += np.bincount(np.maximum(grade, 1) - 1, weights=np.where(grade > 0, by_lower, 0), minlength=GRADES - 1)
         gap_slope = np.cumsum(at[::-1])[::-1][1:] * np.exp(gaps)
@@ -118,7 +140,9 @@ def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings
         weights -= settings.rate * slope / np.sqrt(memory)
         base -= settings.rate * at.sum() / np.sqrt(base_memory)
         gaps = gaps - settings.rate * gap_slope / np.sqrt(gap_memory)
-    return Model(weights.astype(np.float32), base + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    every = np.zeros(settings.buckets, np.float32)
+    every[tokens] = weights
+    return Model(every, base + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
 def _bytes(batch, text: str) -> list[bytes]:
@@ -152,11 +176,14 @@ def fit(docs: DataFrame, ratings: DataFrame, settings: Settings = Settings(), id
             tokens = whole.column("_tokens").chunk(0)
             index, sizes = tokens.flatten().to_numpy().astype(np.int64), np.diff(tokens.offsets.to_numpy())
             model = fit_arrays(index, np.repeat(np.arange(len(sizes)), sizes), whole.column("_grade").to_numpy().astype(np.int64), settings)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tobytes()])], names=["weights", "thresholds"])
+        used = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (used, model.weights[used], model.thresholds)], names=["used", "weights", "thresholds"])
 
     lists = rated.mapInArrow(gathered, "_id long, _grade int, _tokens array<int>")
-    row = lists.repartition(1).mapInArrow(fitted, "weights binary, thresholds binary").first()
-    return Model(np.frombuffer(row.weights, np.float32), np.frombuffer(row.thresholds, np.float64))
+    row = lists.repartition(1).mapInArrow(fitted, "used binary, weights binary, thresholds binary").first()
+    weights = np.zeros(settings.buckets, np.float32)
+    weights[np.frombuffer(row.used, np.int64)] = np.frombuffer(row.weights, np.float32)
+    return Model(weights, np.frombuffer(row.thresholds, np.float64))
 
 
 def graded(labels: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -168,7 +195,7 @@ def graded(labels: DataFrame, id: str = "doc_id") -> DataFrame:
 OUTPUTS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("p_clean", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
 
-def classify(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Model, least: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of `docs` with `expected_grade`, `p_clean` (that of the highest grade) and `kept` (p_clean >= least).
 
     Null and empty texts are scored by their style marks alone. Equal texts get equal scores, long
@@ -177,10 +204,15 @@ def classify(docs: DataFrame, model: Model, least: float = 0.5, text: str = "tex
     """
     outputs = [f.name for f in OUTPUTS]
     docs, names, (text,) = plain(docs, outputs, text)
+    used, buckets = np.flatnonzero(model.weights), len(model.weights)
+    few, thresholds = model.weights[used], model.thresholds  # tasks get the weights in use
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros(buckets, np.float32)
+        weights[used] = few
+        own = Model(weights, thresholds)
         for batch in batches:
-            tails = model.tails(scores(_bytes(batch, text), model.weights))
+            tails = own.tails(scores(_bytes(batch, text), weights))
             kept = tails[:, -1] >= least
             extra = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *outputs])
