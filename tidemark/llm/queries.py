@@ -14,6 +14,7 @@ from .quality_rules import quality_rules, rules_sql
 from .resharding import reshard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_shards import materialise
 from .topk import top_k
 
 QUERIES: dict = {}
@@ -96,3 +97,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = reshard(docs, F.pmod(F.xxhash64("source"), F.lit(12)), shards=16)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(table(spark, sf_dir, "documents"), default_tokenizer())[0]
