@@ -1,11 +1,13 @@
 """Near-duplicate detection: b-bit MinHash signatures and banding, links confirmed on full sets.
 
 1. One row a document: set size, a 128-bit set hash, band keys of `bands` x `rows` minima, and a
-   signature that keeps the low `BITS` bits of every minimum. Documents with equal sets form a class;
-   its smallest number stands for it.
+   signature that keeps the low `BITS` bits of every minimum, and the parities of its shingles in
+   `PARITIES` bins. Documents with equal sets form a class; its smallest number stands for it.
 2. A band key that two classes share makes a bucket. First every member is paired with the smallest
    of the bucket, so a group of any size costs one pair for each member. The signatures' bit counts
-   estimate the similarity, corrected for chance agreement; pairs far below the threshold go.
+   estimate the similarity, corrected for chance agreement; pairs far below the threshold go. So do
+   pairs whose parities differ in more bins than two sets that reach it can differ in shingles: each
+   odd bin holds a shingle that only one of them has, so this bound is exact.
 3. Remaining pairs are confirmed by the intersection of the full sets; links give components.
 4. Members of one bucket that are still in different components are paired, estimated, confirmed
    and joined likewise. A bucket inside one component needs no more pairs, so nothing is capped.
@@ -28,6 +30,7 @@ from tidemark.session import staged
 from .common import col, mix, plain, rolling, word_hashes
 
 BITS = 2
+PARITIES = 1024
 _CHUNK = 1 << 18
 _FULL = 0x5555555555555555
 
@@ -82,10 +85,15 @@ def _bytes(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
 
 
+def _bit_columns(words: int) -> list[str]:
+    return [f"s{i}" for i in range(words)] + [f"p{i}" for i in range(PARITIES // 64)]
+
+
 def _marks(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc, n, h1, h2 (set hash), band keys, signature words."""
+    """doc, n, h1, h2 (set hash), band keys, signature and parity words."""
     words = -(-bands * rows * BITS // 64)
-    names = ["n", "h1", "h2", "keys", *(f"s{i}" for i in range(words))]
+    names = ["n", "h1", "h2", "keys", *_bit_columns(words)]
+    parity_bits = np.uint64(64 - (PARITIES - 1).bit_length())
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, shift = _hash_params(bands * rows)
@@ -94,7 +102,7 @@ def _marks(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             count = batch.num_rows
             n, h = np.zeros(count, np.int64), np.zeros((2, count), np.uint64)
-            keys, signature = np.zeros((count, bands), np.uint64), np.zeros((count, words), np.uint64)
+            keys, signature = np.zeros((count, bands), np.uint64), np.zeros((count, words + PARITIES // 64), np.uint64)
             for i, values in enumerate(shingle_sets(_bytes(batch, "text"), shingle)):
                 n[i] = len(values)
                 if not len(values):
@@ -102,12 +110,14 @@ def _marks(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 h[0, i], h[1, i] = mix(values).sum(), np.bitwise_xor.reduce(mix(values * np.uint64(0x9E3779B97F4A7C15)))
                 least = minima(values, factor, shift)
                 keys[i] = mix((least.reshape(bands, rows) * powers).sum(axis=1, dtype=np.uint64) + salt)
-                signature[i] = packed(least)
+                signature[i, :words] = packed(least)
+                odd = np.bincount((values >> parity_bits).astype(np.int64), minlength=PARITIES) & 1
+                signature[i, words:] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            columns = [pa.array(n), *(pa.array(x.view(np.int64)) for x in h), lists, *(pa.array(np.ascontiguousarray(signature[:, j]).view(np.int64)) for j in range(words))]
+            columns = [pa.array(n), *(pa.array(x.view(np.int64)) for x in h), lists, *(pa.array(np.ascontiguousarray(signature[:, j]).view(np.int64)) for j in range(signature.shape[1]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=["doc", *names])
 
-    kinds = ["long"] * 3 + ["array<long>"] + ["long"] * words
+    kinds = ["long"] * 3 + ["array<long>"] + ["long"] * (len(names) - 4)
     return docs.mapInArrow(marked, "doc long, " + ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
 
 
@@ -121,13 +131,18 @@ def _estimate(words: int, slots: int) -> Column:
     return (1 - differ / F.lit(float(slots)) - chance) / (1 - chance)
 
 
-def _plausible(words: int, slots: int, threshold: float) -> Column:
-    """Sizes that allow the threshold, and an estimate at most six standard errors below it."""
+def _plausible(words: int, slots: int, percent: int) -> Column:
+    """Sizes and parities that allow the threshold, and an estimate at most six standard errors below it."""
+    threshold = percent / 100
+    apart = F.lit(0)
+    for i in range(PARITIES // 64):
+        apart = apart + F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}")))
     chance = 1 / (1 << BITS)
     agree = chance + (1 - chance) * threshold
     slack = 6 * (agree * (1 - agree) / slots) ** 0.5 / (1 - chance)
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return (small >= F.lit(threshold - 1e-9) * large) & (_estimate(words, slots) >= threshold - slack)
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    return (100 * small >= percent * large) & close & (_estimate(words, slots) >= threshold - slack)
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -170,9 +185,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     marks = staged(_marks(source, shingle, bands, rows), "marks")
     known = marks.where("doc IS NOT NULL AND n > 0")
     classes = known.groupBy("n", "h1", "h2").agg(F.min("doc").alias("node"))
-    members = staged(known.join(classes, ["n", "h1", "h2"]).select("doc", "node", "n", "h1", "h2", "keys", *(f"s{i}" for i in range(words))), "members")
+    members = staged(known.join(classes, ["n", "h1", "h2"]).select("doc", "node", "n", "h1", "h2", "keys", *_bit_columns(words)), "members")
     heads = members.where("doc = node").dropDuplicates(["node", "n", "h1", "h2"])
-    nodes = heads.select("node", "n", *(f"s{i}" for i in range(words)))
+    nodes = heads.select("node", "n", *_bit_columns(words))
     spread = heads.select("node", F.explode("keys").alias("key"))
     buckets = staged(spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"), "buckets")
     placed = staged(spread.join(buckets, "key").select("key", "node", "least").distinct(), "placed")
@@ -191,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = nodes.alias("a"), nodes.alias("b")
-        both = pairs.join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node")).where(_plausible(words, slots, percent / 100))
+        both = pairs.join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node")).where(_plausible(words, slots, percent))
         return _confirmed(both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, percent)
 
     # numbers that head two classes, or whose rows lie in several, tie these together
@@ -203,9 +218,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     inside = placed.join(labels, "node")
     split = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(inside.join(split, "key").join(nodes, "node").select("key", "node", "component", "n", *(f"s{i}" for i in range(words))), "open")
+    open_ = staged(inside.join(split, "key").join(nodes, "node").select("key", "node", "component", "n", *_bit_columns(words)), "open")
     a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _plausible(words, slots, percent / 100))
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _plausible(words, slots, percent))
     second = staged(_confirmed(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets, percent), "links")
     if not second.isEmpty():
         labels = _components(labels.select("node"), first.union(second))

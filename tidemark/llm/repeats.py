@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,12 +166,12 @@ def _numbers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(pairs, return_inverse=True)[1], pairs["rank"]
 
 
-_PIECES = "shard int, part int, content binary, anchor binary, length binary, symbols binary, of binary, doc binary, rank binary, start binary"
+_PIECES = "shard int, part int, anchor binary, length binary, symbols binary, of binary, doc binary, rank binary, start binary"
 
 
 def _cut(rows: pa.Table, replies: pa.Table, text: str, scheme: Scheme, shards: int) -> pa.Table:
     names = [x.split()[0] for x in _PIECES.split(", ")]
-    kinds = [pa.int32()] * 2 + [pa.binary()] * 8
+    kinds = [pa.int32()] * 2 + [pa.binary()] * 7
     out: list[list] = [[] for _ in names]
     if rows.num_rows and replies.num_rows:
         keys, hot = (np.concatenate(x) for x in zip(*(_unpacked(x) for x in replies.column("keys").to_pylist()), strict=True))
@@ -178,6 +179,7 @@ def _cut(rows: pa.Table, replies: pa.Table, text: str, scheme: Scheme, shards: i
         keys, hot = keys[order], hot[order] > 0
         number, rank = _numbers(rows)
         window, texts = scheme.window, texts_of(rows, text)
+        pack = zstandard.ZstdCompressor(level=1)
         got: list[tuple[np.ndarray, ...]] = []
         symbols: list[np.ndarray] = []
         raw_of = None
@@ -225,9 +227,9 @@ def _cut(rows: pa.Table, replies: pa.Table, text: str, scheme: Scheme, shards: i
                 places = by_shard[s]
                 ends = np.cumsum(length[own])
                 within = np.arange(ends[-1]) - np.repeat(ends - length[own], length[own])
-                row = (s, part, content[own], anchor[own], length[own].astype(np.int32), flat[np.repeat(begin[own], length[own]) + within], local[of[places]].astype(np.int32), doc[places].astype(np.int32), ranks[places], start[places].astype(np.int32))
+                row = (s, part, anchor[own], length[own].astype(np.int32), flat[np.repeat(begin[own], length[own]) + within], local[of[places]].astype(np.int32), doc[places].astype(np.int32), ranks[places], start[places].astype(np.int32))
                 for column, value in zip(out, row, strict=True):
-                    column.append(value if isinstance(value, int) else value.tobytes())
+                    column.append(value if isinstance(value, int) else pack.compress(value.tobytes()))
     return pa.table({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
 
@@ -237,16 +239,19 @@ def _settle(rows: pa.Table, scheme: Scheme) -> pa.Table:
     kind = np.uint64 if scheme.units == "words" else np.uint8
 
     def column(name: str, dtype) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype) for x in rows.column(name).to_pylist()]
+        return [np.frombuffer(unpack.decompress(x), dtype) for x in rows.column(name).to_pylist()]
 
-    contents, symbols = column("content", np.uint64), column("symbols", kind)
-    base = np.cumsum([0] + [len(x) for x in contents])
+    unpack = zstandard.ZstdDecompressor()
+    anchors, symbols = column("anchor", np.uint64), column("symbols", kind)
+    base = np.cumsum([0] + [len(x) for x in anchors])
     of = np.concatenate([x + b for x, b in zip(column("of", np.int32), base[:-1], strict=True)]).astype(np.int64)
-    part = np.repeat(rows.column("part").to_numpy(), [len(x) for x in column("doc", np.int32)])
-    doc, rank, start = np.concatenate(column("doc", np.int32)), np.concatenate(column("rank", np.int64)), np.concatenate(column("start", np.int32)).astype(np.int64)
-    length, anchor, flat = np.concatenate(column("length", np.int32)).astype(np.int64), np.concatenate(column("anchor", np.uint64)), np.concatenate(symbols)
+    docs = column("doc", np.int32)
+    part = np.repeat(rows.column("part").to_numpy(), [len(x) for x in docs])
+    doc, rank, start = np.concatenate(docs), np.concatenate(column("rank", np.int64)), np.concatenate(column("start", np.int32)).astype(np.int64)
+    length, anchor, flat = np.concatenate(column("length", np.int32)).astype(np.int64), np.concatenate(anchors), np.concatenate(symbols)
     begin = np.cumsum(length) - length
-    _, index, inverse = np.unique(np.concatenate(contents), return_index=True, return_inverse=True)
+    content = sequence_hash(flat if kind is np.uint64 else byte_values(flat.tobytes()), begin, length) ^ anchor
+    _, index, inverse = np.unique(content, return_index=True, return_inverse=True)
     of, length, anchor, begin = inverse[of], length[index], anchor[index], begin[index]
 
     by_first = np.lexsort((start, rank, of))
