@@ -1,5 +1,6 @@
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -10,12 +11,18 @@ from tidemark.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "tests", "local[4]", spark_sql_shuffle_partitions="4", spark_ui_enabled="false", spark_driver_memory="8g"
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="tidemark-tests-") as shared:
+        session = build_session(
+            "tests",
+            "local[4]",
+            spark_sql_shuffle_partitions="4",
+            spark_ui_enabled="false",
+            spark_driver_memory="8g",
+            spark_checkpoint_dir=shared,
+        )
+        session.sparkContext.setLogLevel("ERROR")
+        yield session
+        session.stop()
 
 
 @pytest.fixture

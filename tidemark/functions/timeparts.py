@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
@@ -54,9 +54,20 @@ def month_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def parse_time(text: Column) -> Column:
-    """ISO date-time, date-only or year-month text; anything else becomes NULL."""
-    return F.rtrim(F.trim(text), F.lit("Z")).try_cast("timestamp_ntz")
+def parse_time(text: Column, strict: bool = True) -> Column:
+    """ISO date-time, date-only or year-month text. Anything else raises, or becomes NULL if not strict."""
+    plain = F.rtrim(F.trim(text), F.lit("Z"))
+    lenient = plain.try_cast("timestamp_ntz")
+    if not strict:
+        return lenient
+    bad = F.raise_error(F.concat(F.lit("not a time: "), F.substring(text, 1, 40))).cast("timestamp_ntz")
+    return F.when(text.isNotNull() & lenient.isNull(), bad).otherwise(lenient)
+
+
+def bad_times(df: DataFrame, text: str) -> DataFrame:
+    """One row: how many texts a lenient parse would turn into NULL."""
+    lost = F.col(text).isNotNull() & parse_time(F.col(text), strict=False).isNull()
+    return df.agg(F.count_if(lost).alias("bad_times"))
 
 
 def interval(text: str) -> Column:

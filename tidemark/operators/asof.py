@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .carry import fill_gaps
+from ..functions.timeparts import bucket_number, from_epoch_seconds, seconds_of
+from .carry import BUCKET, fill_gaps, in_buckets
 
 
 def asof_join(
@@ -22,7 +23,13 @@ def asof_join(
     Left rows before the first right value are dropped. A left side with repeated (key, time) is
     reduced to its distinct times first, so the ordered part never sees a hot timestamp, and the
     answer is joined back on equality, which the adaptive skew join can split.
+
+    A right side without any of the keys holds for every series: it is then carried once over the
+    distinct times, and each series picks up its times by equality.
     """
+    if keys and not set(keys) & set(right.columns):
+        times = left.select(time).distinct()
+        return left.join(asof_join(times, right, [], time, cols, width, unique_left=True), time).select(*left.columns, *cols)
     spots = left if unique_left else left.select(*keys, time).distinct()
     extra = [c for c in spots.columns if c not in keys and c != time]
     right_rows = right.select(*keys, time, *cols, F.lit(0).alias("_side")).where(
@@ -39,3 +46,28 @@ def asof_join(
     if unique_left:
         return answered.select(*keys, time, *extra, *cols)
     return left.join(answered.select(*keys, time, *cols), [*keys, time])
+
+
+def asof_slow(left: DataFrame, right: DataFrame, keys: list[str], time: str, col: str, width: str = "1 day") -> DataFrame:
+    """The same for a right side that changes seldom against the width: `left` is not moved by order.
+
+    Per (key, bucket) of the left side there is one small row: the value carried to the bucket's
+    start and the changes inside it. That table, as long as the calendar, is joined on (key,
+    bucket), and each row picks the last change up to its time. A right side without the keys holds
+    for every series.
+    """
+    shared = [k for k in keys if k in right.columns]
+    changes = right.select(*shared, F.col(time).alias("_at"), F.col(col).alias("_v")).where("_at IS NOT NULL AND _v IS NOT NULL")
+    rows = in_buckets(left, keys, time, width)
+    spine = rows.select(*keys, BUCKET).distinct()
+    start = from_epoch_seconds(F.col(BUCKET) * seconds_of(width))
+    begins = spine.select(*shared, BUCKET).distinct().select(*shared, F.col(BUCKET).alias("_of"), start.alias(time))
+    before = asof_join(begins, changes.withColumnsRenamed({"_at": time, "_v": "_carried"}), shared, time, ["_carried"], "3650 days", unique_left=True)
+    inside = changes.withColumn(BUCKET, bucket_number(F.col("_at"), width)).groupBy(*shared, BUCKET)
+    steps = inside.agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_steps"))  # the changes of one bucket
+    known = spine.join(before.select(*shared, F.col("_of").alias(BUCKET), "_carried"), [*shared, BUCKET], "left").join(steps, [*shared, BUCKET], "left")
+    held = known.where("_carried IS NOT NULL OR _steps IS NOT NULL")
+    last = F.element_at(F.filter("_steps", lambda s: s["_at"] <= F.col(time)), -1)["_v"]
+    found = F.when(F.exists("_steps", lambda s: s["_at"] <= F.col(time)), last).otherwise(F.col("_carried"))
+    answered = rows.join(held, [*keys, BUCKET]).withColumn(col, found)
+    return answered.where(F.col(col).isNotNull()).select(*left.columns, col)

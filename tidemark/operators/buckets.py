@@ -16,6 +16,9 @@ SLOTS = {  # bucket unit -> (slot of a time inside its bucket, slots in a full b
 }
 
 
+GRIDS = {"hour": ("1 hour", "30 days"), "day": ("1 day", "365 days")}  # bucket unit -> (grid step, chunk)
+
+
 def slots_seen(slot: Column) -> Column:
     """Distinct slots present, as a bit mask: a fixed-width, mergeable count of up to 63 slots."""
     return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)))
@@ -56,6 +59,8 @@ def complete_bucket_stats(
     emit_empty adds NULL rows for the buckets missing between a series' first and last kept one.
     """
     expected = SLOTS[unit][1] if expected is None else expected
+    if emit_empty and unit not in GRIDS:
+        raise ValueError(f"empty buckets need one of the units {sorted(GRIDS)}, not {unit}")
     stats = [f(c).alias(f"{c}_{name}") for c in cols for name, f in (("mean", F.avg), ("std", F.stddev_samp))]
     rows = (
         df.groupBy(*keys, floor_time(F.col(time), unit).alias("_start"))
@@ -66,7 +71,7 @@ def complete_bucket_stats(
     )
     if not emit_empty:
         return rows
-    step, chunk = {"hour": ("1 hour", "30 days"), "day": ("1 day", "365 days")}[unit]
+    step, chunk = GRIDS[unit]
     return regular_grid([rows], keys, time, step, chunk).join(rows, [*keys, time], "left")
 
 

@@ -73,9 +73,11 @@ def _over_sql(keys: list[str], order: list[str]) -> str:
 
 
 def positions(
-    df: DataFrame, keys: list[str], time: str, width: str | None = "1 day", out: str = "pos"
+    df: DataFrame, keys: list[str], time: str, width: str | None = "1 day", out: str = "pos", step: str | None = None
 ) -> DataFrame:
-    """Adds the dense 0-based row position inside each series."""
+    """Adds the row position inside each series: dense and from 0, or on a regular grid its step number."""
+    if step:
+        return _present(df.withColumn(BUCKET, F.lit(0)), [*keys, time]).drop(BUCKET).withColumn(out, grid_position(time, step))
     rows = in_buckets(df, keys, time, width or measured_width(df, keys, time))
     parts = rows.repartition(*keys, BUCKET)
     base = (
@@ -225,24 +227,23 @@ def _across_sql(keys: list[str], direction: str) -> str:
 def tail_rows(
     df: DataFrame, n: int, time: str, keys: list[str] | None = None, width: str | None = "30 days"
 ) -> DataFrame:
-    """The newest `n` rows of each series, by row count.
+    """The newest `n` rows of each series, by row count; rows of one time in no fixed order.
 
-    Bucket counts decide which buckets can matter; only those reach the ranking window, so its
-    input per key is about `n` rows plus one bucket.
+    Without keys Spark's top-n does it. With keys, bucket counts say which buckets lie wholly among
+    the newest `n` rows; only the one the limit falls into is ranked, inside its own group.
     """
-    keys = keys or []
+    if not keys:
+        return df.orderBy(F.col(time).desc()).limit(n)
     width = width or measured_width(df, keys, time)
     marked = df.withColumn(BUCKET, bucket_number(F.col(time), width))
     counts = marked.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
     newer = F.coalesce(F.sum("_n").over(_across(keys, newest_first=True)), F.lit(0))
-    needed = counts.withColumn("_newer", newer).where(F.col("_newer") < n).select(*keys, BUCKET)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(time).desc()))
-    return (
-        marked.join(needed, [*keys, BUCKET], "left_semi")
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= n)
-        .drop("_rank", BUCKET)
-    )
+    needed = counts.withColumn("_newer", newer).where(F.col("_newer") < n)
+    rows = marked.join(needed, [*keys, BUCKET])
+    whole = rows.where(F.col("_newer") + F.col("_n") <= n)
+    rank = F.row_number().over(_inside(keys, F.col(time).desc()))
+    cut = rows.where(F.col("_newer") + F.col("_n") > n).withColumn("_rank", rank).where(F.col("_newer") + F.col("_rank") <= n)
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def latest_row(df: DataFrame, time: str, keys: list[str] | None = None) -> DataFrame:

@@ -39,10 +39,13 @@ def to_double(df: DataFrame, cols: list[str], strict: bool = True) -> DataFrame:
     return df.withColumns({c: null_if_nan(cast(c)) for c in cols})
 
 
-def with_time_key(df: DataFrame, text: str, out: str = "time") -> DataFrame:
-    """Replaces a text time column by a TIMESTAMP_NTZ column in first place."""
+def with_time_key(df: DataFrame, text: str, out: str = "time", strict: bool = True) -> DataFrame:
+    """Replaces a text time column by a TIMESTAMP_NTZ column in first place.
+
+    A text that is no time raises unless strict is off; `bad_times` counts what that would lose.
+    """
     rest = [c for c in df.columns if c != text]
-    return df.select(parse_time(F.col(text)).alias(out), *rest)
+    return df.select(parse_time(F.col(text), strict).alias(out), *rest)
 
 
 def mask_invalid(df: DataFrame, cols: list[str]) -> DataFrame:

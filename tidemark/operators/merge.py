@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import month_key
-from ..sources.payloads import DICTS, LISTS, dict_rows, list_rows, sniff
+from ..sources.payloads import DICTS, LISTS, arrival, dict_rows, list_rows, payload_rejects, sniff
 from ..sources.tables import list_partitions
 
 MONTH = "month"
@@ -17,11 +17,23 @@ FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "doub
 OLDEST = -(2**63)
 
 
-def last_wins(df: DataFrame, keys: list[str], seq: Column | str) -> DataFrame:
-    """The record with the highest `seq` per key, whole: its NULLs replace earlier values."""
+def last_wins(df: DataFrame, keys: list[str], seq: Column | str | None = None) -> DataFrame:
+    """The record with the highest `seq` per key, whole: its NULLs replace earlier values.
+
+    A whole-number `seq` that is NULL ranks below every other. Without `seq` the greatest record
+    wins, so the answer does not depend on the order of the rows.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rest = [c for c in df.columns if c not in keys]
-    order = F.col(seq) if isinstance(seq, str) else seq
+    if seq is None:
+        out = df.groupBy(*keys).agg(F.max(F.struct(*rest) if rest else F.lit(0)).alias("_r"))
+        return out.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    if isinstance(seq, str):
+        order = F.col(seq)
+        if types[seq] in ("tinyint", "smallint", "int", "bigint"):
+            order = F.coalesce(order.cast("bigint"), F.lit(OLDEST + 1))
+    else:
+        order = seq
     if all(types[c] in FIXED_WIDTH for c in rest):
         # The columns see the same rows in the same order, so they agree on the winning record.
         return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
@@ -32,7 +44,9 @@ def last_wins(df: DataFrame, keys: list[str], seq: Column | str) -> DataFrame:
 def merge_records(existing: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """Upsert of whole records; inside `new`, `seq` (integers) decides between copies of one key."""
     cols = existing.columns
-    arrival = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    if seq is None:
+        new, seq = last_wins(new.select(*cols), keys).withColumn("_s", F.lit(0)), "_s"
+    arrival = F.coalesce(F.col(seq).cast("bigint"), F.lit(OLDEST + 1))
     old_rows = existing.withColumn("_o", F.lit(OLDEST).cast("bigint"))
     new_rows = new.withColumn("_o", arrival).select(*cols, "_o")
     return last_wins(old_rows.unionByName(new_rows), keys, "_o").select(*cols)
@@ -54,11 +68,15 @@ def land_partitioned(
 ) -> list[str]:
     """Merges a payload into its months of a partitioned raw table; returns those months.
 
-    Only touched partitions are read and replaced. The files of a partition are sorted by key, so
-    later time filters skip row groups. Re-running the same payload leaves the table as it is.
+    The payload is staged first: the months and the rows then come from the same copy, whatever
+    arrives meanwhile. Only touched partitions are read and replaced. The files of a partition are
+    sorted by key, so later time filters skip row groups. Re-running the same payload leaves the
+    table as it is.
     """
+    from ..session import staged
+
     kept = new.select(*[c for c in (keep or new.columns)], *([seq] if seq and keep and seq not in keep else []))
-    kept = kept.withColumn(MONTH, _month_of(kept, time))
+    kept = staged(kept.withColumn(MONTH, _month_of(kept, time)), "landing")
     months = _touched(kept)
     cols = [c for c in kept.columns if c != seq]
     present = [m for m in list_partitions(spark, path, MONTH) if m in set(months)]
@@ -67,8 +85,7 @@ def land_partitioned(
         existing = spark.read.schema(schema).parquet(path).where(F.col(MONTH).isin(present))
         merged = merge_records(existing.select(*cols), kept, [MONTH, *keys], seq)
     else:
-        order = F.col(seq) if seq else F.lit(0)
-        merged = last_wins(kept, [MONTH, *keys], order).select(*cols)
+        merged = last_wins(kept, [MONTH, *keys], seq).select(*cols)
     (
         merged.repartitionByRange(MONTH, *keys)
         .sortWithinPartitions(MONTH, *keys)
@@ -114,13 +131,22 @@ def land_documents(
     time: str,
     partitioned: bool,
 ) -> None:
-    """Landing by payload form: header-row lists merge into {path}/lists, records into {path}/dicts."""
+    """Landing by payload form: header-row lists merge into {path}/lists, records into {path}/dicts.
+
+    A document in neither form, or malformed, stops the landing before anything is written. With a
+    `document` column (see `read_documents`) later documents beat earlier ones.
+    """
+    bad = payload_rejects(docs, payload).groupBy("reason").count().collect()  # at most two rows
+    if bad:
+        raise ValueError(f"{path}: {', '.join(f'{r[1]} {r[0]}' for r in sorted(bad))}")
+    keep = ["document"] if "document" in docs.columns else []
+    ordered = lambda rows: rows.withColumn("seq", arrival()).drop("document") if keep else rows
     form = sniff(F.col(payload))
     lists, dicts = docs.where(form == LISTS), docs.where(form == DICTS)
     if not lists.isEmpty():
-        land_single(spark, f"{path}/lists", list_rows(lists, payload, fields), keys, "seq")
+        land_single(spark, f"{path}/lists", ordered(list_rows(lists, payload, fields, keep)), keys, "seq")
     if not dicts.isEmpty():
-        land(spark, f"{path}/dicts", dict_rows(dicts, payload, fields), keys, time, partitioned, "seq")
+        land(spark, f"{path}/dicts", ordered(dict_rows(dicts, payload, fields, keep)), keys, time, partitioned, "seq")
 
 
 def land(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import floor_time, interval, month_key
+from ..session import staged
 from ..sources.tables import list_partitions
 
 MONTH = "month"
@@ -42,24 +43,30 @@ def newest(df: DataFrame, time: str) -> Column:
     return df.agg(F.max(time)).scalar()
 
 
-def upsert_lookback(df: DataFrame, time: str, hours: int) -> DataFrame:
-    return df.where(F.col(time) >= newest(df, time) - interval(f"{hours} hours"))
+def upsert_lookback(df: DataFrame, time: str, hours: int, keys: list[str] | None = None) -> DataFrame:
+    """Rows of the last `hours` before the newest row, of each series if it has keys."""
+    return slice_interval(df, time, f"{hours} hours", keys)
 
 
-def retention_trim(df: DataFrame, time: str, keep: str | None) -> DataFrame:
-    """Rows no older than `keep` before the newest row; None keeps all."""
-    return df if keep is None else df.where(F.col(time) >= newest(df, time) - interval(keep))
+def retention_trim(df: DataFrame, time: str, keep: str | None, keys: list[str] | None = None) -> DataFrame:
+    """Rows no older than `keep` before the newest row (of each series); None keeps all."""
+    return df if keep is None else slice_interval(df, time, keep, keys)
 
 
 def change_feed(
-    table: DataFrame, cursor: Column | None, time: str = "time", held_days: int | None = None, overlap: str | None = None
+    table: DataFrame,
+    cursor: Column | None,
+    time: str = "time",
+    held_days: int | None = None,
+    overlap: str | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Rows written after the cursor (all of them on the first read), inside the held window.
+    """Rows written after the cursor (all of them on the first read), inside each series' held window.
 
     `overlap` re-reads that much before the cursor, for writers whose commit lags their timestamp;
     the merge that follows is idempotent.
     """
-    rows = retention_trim(table, time, f"{held_days} days" if held_days else None)
+    rows = retention_trim(table, time, f"{held_days} days" if held_days else None, keys)
     if cursor is None:
         return rows
     if overlap:
@@ -70,10 +77,14 @@ def change_feed(
 def delta_merge(
     held: DataFrame, delta: DataFrame, keys: list[str], time: str, held_days: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    """(new state, changed keys still held): overlay by key, then trim to the held window."""
+    """(new state, changed keys still held): overlay by key, then trim to each series' held window.
+
+    `keys` identify a row; those besides `time` identify its series.
+    """
     from .grid import overlay
 
-    state = retention_trim(overlay(held, delta, keys), time, f"{held_days} days" if held_days else None)
+    series = [k for k in keys if k != time]
+    state = retention_trim(overlay(held, delta, keys), time, f"{held_days} days" if held_days else None, series)
     changed = delta.select(*keys).distinct().join(state.select(*keys), keys, "left_semi")
     return state, changed
 
@@ -111,14 +122,21 @@ def publish(
         .parquet(path)
     )
     if keep:
-        trim_table(spark, path, time, keep)
+        trim_table(spark, path, time, keep, [k for k in keys if k != time])
 
 
-def trim_table(spark: SparkSession, path: str, time: str, keep: str) -> None:
-    """Retention on a month-partitioned table: whole old months go, the boundary month is rewritten."""
+def trim_table(spark: SparkSession, path: str, time: str, keep: str, keys: list[str] | None = None) -> None:
+    """Retention on a month-partitioned table: whole old months go, boundary months are rewritten.
+
+    Every series keeps its own span. Their cutoffs lie in the months between the oldest and the
+    newest one; only those months are read in full and replaced.
+    """
     months = list_partitions(spark, path, MONTH)
     if not months:
         return
+    if keys:
+        _trim_series(spark, path, time, keep, keys, months)
+        return
     table = spark.read.parquet(path)
     top = table.where(F.col(MONTH) == months[-1]).agg(F.max(time).alias("t"))
     cutoff, month = top.select((F.col("t") - interval(keep)).alias("c")).select("c", month_key(F.col("c"))).first()
@@ -134,6 +152,21 @@ def trim_table(spark: SparkSession, path: str, time: str, keep: str) -> None:
         )
 
 
+def _trim_series(spark: SparkSession, path: str, time: str, keep: str, keys: list[str], months: list[str]) -> None:
+    table = spark.read.parquet(path)
+    cutoffs = staged(table.groupBy(*keys).agg((F.max(time) - interval(keep)).alias("_from")), "cutoffs")
+    ends = cutoffs.agg(month_key(F.min("_from")), month_key(F.max("_from"))).first()
+    drop_partitions(spark, path, [m for m in months if m < ends[0]])
+    boundary = [m for m in months if ends[0] <= m <= ends[1]]
+    if not boundary:
+        return
+    rows = spark.read.parquet(path).where(F.col(MONTH).isin(boundary)).join(cutoffs, keys)
+    kept = staged(rows.where(F.col(time) >= F.col("_from")).drop("_from"), "kept")
+    left = {r[0] for r in kept.select(F.col(MONTH).cast("string")).distinct().collect()}  # calendar-bounded
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    drop_partitions(spark, path, [m for m in boundary if m not in left])
+
+
 def drop_partitions(spark: SparkSession, path: str, months: list[str]) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for month in months:
@@ -155,6 +188,34 @@ def slice_interval(df: DataFrame, time: str, span: str, keys: list[str] | None =
     return df.join(anchors, keys).where(F.col(time) >= F.col("_from")).drop("_from").select(*df.columns)
 
 
+def slice_published(spark: SparkSession, path: str, time: str, span: str, keys: list[str] | None = None) -> DataFrame:
+    """slice_interval over a month-partitioned table that reads only the months it needs.
+
+    The newest time is read from the last month, or the newest one of each series from all months
+    (keys and time only); months before the earliest cutoff are filtered out by partition.
+    """
+    table, months = spark.read.parquet(path), list_partitions(spark, path, MONTH)
+    if not months:
+        return table.limit(0)
+    if not keys:
+        top = table.where(F.col(MONTH) == months[-1]).agg((F.max(time) - interval(span)).alias("c"))
+        cutoff, month = top.select("c", month_key(F.col("c"))).first()
+        return table.where((F.col(MONTH) >= month) & (F.col(time) >= F.lit(cutoff).cast("timestamp_ntz")))
+    anchors = table.groupBy(*keys).agg((F.max(time) - interval(span)).alias("_from"))
+    month = anchors.agg(month_key(F.min("_from"))).first()[0]
+    recent = table.where(F.col(MONTH) >= month)
+    return recent.join(anchors, keys).where(F.col(time) >= F.col("_from")).drop("_from").select(*table.columns)
+
+
+def latest_published(spark: SparkSession, path: str, time: str) -> DataFrame:
+    """The newest row of a month-partitioned table, from its last month."""
+    from .carry import latest_row
+
+    months = list_partitions(spark, path, MONTH)
+    table = spark.read.parquet(path)
+    return latest_row(table.where(F.col(MONTH) == months[-1]) if months else table.limit(0), time)
+
+
 def latest_snapshot(df: DataFrame, product: list[str], retrieved: str) -> DataFrame:
     """Rows of the newest retrieval of each product."""
     top = df.groupBy(*product).agg(F.max(retrieved).alias(retrieved))
@@ -162,14 +223,15 @@ def latest_snapshot(df: DataFrame, product: list[str], retrieved: str) -> DataFr
 
 
 def table_health(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and last change per table, and whether all of them have data yet."""
+    """Rows and last change per table, and whether all of them have data yet; every table is read once."""
     out = None
     for name, table in tables.items():
         row = table.agg(F.count("*").alias("rows"), F.max("updated_at").alias("last_updated_at")).select(
             F.lit(name).alias("table"), "rows", "last_updated_at"
         )
         out = row if out is None else out.unionByName(row)
-    warm = out.agg(F.bool_and(F.col("last_updated_at").isNotNull())).scalar()
+    # One row for each table: the window sees no more than that.
+    warm = F.bool_and(F.col("last_updated_at").isNotNull()).over(Window.partitionBy())
     return out.withColumn("status", F.when(warm, "ok").otherwise("warming_up"))
 
 

@@ -1,9 +1,11 @@
 """Exact quantiles without a per-key value map.
 
-Every value falls into a bin of a fixed monotone scale. Bin counts, combined map-side, locate the
-bin that holds the wanted rank; only the values of that bin are counted one by one and ranked.
-Repeated values collapse into one counted row before any exchange, so neither a hot key nor a hot
-value is gathered in one task.
+Every value falls into a bin of a fixed monotone scale, and into one of 2**20 finer bins inside it.
+Counts, combined map-side, locate the bin that holds the wanted rank, then the fine bin; only the
+distinct values of that fine bin are ranked one by one. Repeated values collapse into one counted
+row before any exchange, so neither a hot key, nor a hot value, nor a narrow column is gathered in
+one task: a window sees the bins of a column, or the fine bins of a bin, or the distinct values
+within a relative width of 2**-30.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS_PER_UNIT = 1024
+BINS_PER_UNIT = 1 << 10
+FINE_PER_UNIT = 1 << 30  # a multiple of the above by a power of two, so fine bins never straddle
 
 
-def _bin(value: str) -> str:
+def _bin(value: str, per_unit: int = BINS_PER_UNIT) -> str:
     """A monotone whole-number scale: fine near zero, logarithmic further out."""
-    size = f"CAST(floor(log1p(abs({value})) * {BINS_PER_UNIT}) AS BIGINT)"
+    size = f"CAST(floor(log1p(abs({value})) * {per_unit}) AS BIGINT)"
     return f"CASE WHEN {value} < 0 THEN -{size} - 1 ELSE {size} END"
 
 
@@ -74,8 +77,16 @@ def quantile_long(
         inside = {c: f"CASE WHEN {_bin(f'`{c}`')} BETWEEN `_min_{c}` AND `_max_{c}` THEN `{c}` END" for c in cols}
         counted = _long(near, keys, inside).groupBy(*group, "_x").agg(F.count("*").alias("_n"))
         counted = counted.selectExpr("*", f"{_bin('_x')} AS _bin")
+    near_rank = counted.join(targets, [*group, "_bin"]).selectExpr("*", f"{_bin('_x', FINE_PER_UNIT)} AS _fine")
+    fine = [*group, "_bin", "_fine"]
     part = ", ".join(_names([*group, "_bin"]))
-    hits = counted.join(targets, [*group, "_bin"]).selectExpr(
+    placed = near_rank.groupBy(*fine, "_below", "_low", "_high").agg(F.sum("_n").alias("_m")).selectExpr(
+        "*", f"_below + sum(_m) OVER (PARTITION BY {part} ORDER BY _fine ROWS UNBOUNDED PRECEDING) AS _end"
+    )
+    within = " OR ".join(f"(_end - _m <= {r} AND {r} < _end)" for r in ("_low", "_high"))
+    wanted = placed.where(within).selectExpr(*_names(fine), "_end - _m AS _under")
+    part = ", ".join(_names(fine))
+    hits = near_rank.join(wanted, fine).drop("_below").withColumnRenamed("_under", "_below").selectExpr(
         "*", f"_below + sum(_n) OVER (PARTITION BY {part} ORDER BY _x ROWS UNBOUNDED PRECEDING) AS _upto"
     )
     at = lambda r: f"max(CASE WHEN _upto - _n <= {r} AND {r} < _upto THEN _x END)"

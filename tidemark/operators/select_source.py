@@ -45,8 +45,9 @@ def select_source(
 
     The active candidate gives way to the inactive one only if it is NULL in every column and some
     single inactive row is complete; a group without any active row always uses the inactive one.
+    A row whose active flag is missing counts as inactive.
     """
-    ranked = df.withColumn("_rank", source_rank(F.col(source), priority))
+    ranked = df.withColumn("_rank", source_rank(F.col(source), priority)).withColumn(active, F.coalesce(active, F.lit(False)))
     complete = " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
     aggs = [
         F.expr(f"bool_or(`{active}`) AS _any_active"),

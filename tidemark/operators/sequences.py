@@ -20,14 +20,17 @@ BLOCK = "_block"
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
-def _blocks(df: DataFrame, keys: list[str], time: str, length: int, block: int, width: str) -> DataFrame:
+def _blocks(
+    df: DataFrame, keys: list[str], time: str, length: int, block: int, width: str, step: str | None = None
+) -> DataFrame:
     """Rows in blocks of `block` positions, each led by the last length-1 rows of the one before.
 
-    Blocks are cut by row position, not by time, so gaps never shorten the lead-in.
+    Blocks are cut by row position, not by time, so gaps never shorten the lead-in. `step` says that
+    the rows lie on a regular grid without gaps, which saves counting them.
     """
     if block < length:
         raise ValueError("block must be at least the sequence length")
-    placed = positions(df, keys, time, width, "_pos")
+    placed = positions(df, keys, time, width, "_pos", step)
     home = F.floor(F.col("_pos") / block).cast("bigint")
     lead_in = F.pmod("_pos", F.lit(block)) >= block - (length - 1)
     targets = F.when(lead_in, F.array(home, home + 1)).otherwise(F.array(home))
@@ -43,7 +46,10 @@ def sequences(
     block: int = 2048,
     width: str = "30 days",
 ) -> DataFrame:
-    """(keys, time of the last row, seq): every run of `length` consecutive rows, stride 1."""
+    """(keys, time of the last row, seq): every run of `length` consecutive rows, stride 1.
+
+    Each row is copied `length` times: for small exports. `score_sequences` scores without copies.
+    """
     parts = _blocks(df, keys, time, length, block, width)
     run = Window.partitionBy(*keys, BLOCK).orderBy("_pos").rowsBetween(-(length - 1), 0)
     return (
@@ -96,13 +102,14 @@ def score_sequences(
     width: str = "30 days",
     batch: int = 1024,
     out: str = "score",
+    step: str | None = None,
 ) -> DataFrame:
     """Score of the sequence that ends at each row.
 
     Sequences are strided views over a block inside the task: rows cross the network once, not
     once per sequence they belong to. A block holds at most block + length - 1 rows.
     """
-    parts = _blocks(df, keys, time, length, block, width)
+    parts = _blocks(df, keys, time, length, block, width, step)
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, time]) + f", `{out}` double"
 

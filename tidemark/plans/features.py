@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalar import FEATURE_STATS, normalise
-from ..operators.asof import asof_join
+from ..operators.asof import asof_slow
 from ..operators.buckets import complete_bucket_stats
 from ..operators.clean import drop_incomplete
 from ..schemas import FEATURES
@@ -15,8 +15,7 @@ FEATURE_COLS = [f"{c}_{s}" for c in FEATURES for s in ("mean", "std")][:-1]
 
 def join_smoothed(solar: DataFrame, smoothed: DataFrame, keys: list[str]) -> DataFrame:
     """Newest monthly value at or before each minute; rows with any NULL drop out."""
-    joined = asof_join(solar, smoothed, keys, "time", ["predicted_ssn"], unique_left=True)
-    return drop_incomplete(joined)
+    return drop_incomplete(asof_slow(solar, smoothed, keys, "time", "predicted_ssn"))
 
 
 def prepare_features(

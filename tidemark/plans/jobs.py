@@ -12,13 +12,17 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import land
+from ..operators.publish import HELD_DAYS, RETENTION, change_feed
 from ..operators.sequences import OnnxScorer
-from ..schemas import MONTH_PARTITIONED, RAW_KEYS
-from ..session import build_session
-from ..sources.landing import FIELDS, read_feed
+from ..schemas import MONTH_PARTITIONED, RAW_KEYS, SERVING
+from ..session import build_session, workspace
+from ..sources.landing import FIELDS, in_arrival, read_feed
+from ..sources.payloads import grid_rows, payload_rows, read_documents
 from ..sources.tables import exists, list_partitions, read_last_partitions, read_legacy, read_or_empty
+from ..streaming.incremental import cadence, refresh_buckets, refresh_join, upsert_stream
 from .transform import publish_all, transform
 
 LEGACY = {
@@ -27,26 +31,50 @@ LEGACY = {
 }
 
 
-def land_feeds(spark: SparkSession, landing: str, raw: str) -> dict[str, str]:
+def land_feeds(spark: SparkSession, landing: str, raw: str, now: Column | None = None) -> dict[str, str]:
     """Merges every readable feed into its raw table; feed -> 'landed' or 'failed'.
 
-    A feed that fails does not stop the run: the transform then uses what landed before.
+    A feed that fails does not stop the run: the transform then uses what landed before. Every
+    outcome is appended to {raw}/fetch_log (feed, at, ok, reason), which `fetch_counts` and
+    `feed_silence` read.
     """
-    outcome = {}
+    outcome, log = {}, []
     for feed, keys in RAW_KEYS.items():
-        rows = read_feed(spark, landing, feed)
+        refused: list[tuple[str, str]] = []
+        rows = read_feed(spark, landing, feed, refused)
         outcome[feed] = "failed" if rows is None else "landed"
-        if rows is None:
-            continue
-        kept = list(FIELDS[feed])
-        seq = "seq" if "seq" in rows.columns else None
-        payload = rows.select(*kept, *([seq] if seq else []))
-        land(spark, f"{raw}/{feed}", payload, keys, keys[0], feed in MONTH_PARTITIONED, seq)
+        log.append((feed, rows is not None, "; ".join(f"{p}: {r}" for p, r in refused) or None))
+        if rows is not None:
+            land(spark, f"{raw}/{feed}", rows, keys, keys[0], feed in MONTH_PARTITIONED, "seq")
+    at = (now if now is not None else F.localtimestamp()).cast("timestamp_ntz").alias("at")
+    entries = spark.createDataFrame(log, "feed string, ok boolean, reason string").select("feed", at, "ok", "reason")
+    entries.coalesce(1).write.mode("append").parquet(f"{raw}/fetch_log")
     return outcome
 
 
+def land_legacy(spark: SparkSession, documents: str, raw: str) -> None:
+    """Header-row legacy archives, {documents}/old_mag and old_plasma, to the raw tables `read_raw` scans."""
+    for name, schema in LEGACY.items():
+        if exists(spark, f"{documents}/{name}"):
+            fields = dict(part.split() for part in schema.split(", "))
+            rows = in_arrival(payload_rows(read_documents(spark, f"{documents}/{name}"), "payload", fields, ["document"]))
+            land(spark, f"{raw}/{name}", rows, ["time_tag"], "time_tag", False, "seq")
+
+
+def land_grid(spark: SparkSession, documents: str, raw: str, product: str = "nowcast") -> None:
+    """Appends fetched grid documents to {raw}/grid with the time each was written."""
+    docs = spark.read.text(documents, wholetext=True).select(
+        F.col("value").alias("payload"), F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("retrieved_at")
+    )
+    rows = grid_rows(docs, "payload", ["retrieved_at"]).withColumn("product", F.lit(product))
+    rows.write.mode("append").parquet(f"{raw}/grid")
+
+
 def read_raw(spark: SparkSession, raw: str, recent_only: bool) -> dict[str, DataFrame]:
-    """The raw tables; a recent-only run reads the last two months and no legacy tables."""
+    """The raw tables; a recent-only run reads the last two months and no legacy tables.
+
+    All that is measured from the rows, the outlier thresholds above all, then covers two months.
+    """
     feeds = {}
     for feed, fields in FIELDS.items():
         path = f"{raw}/{feed}"
@@ -73,12 +101,42 @@ def run(
     length: int = 168,
 ) -> dict[str, str]:
     """One whole batch run; returns the landing outcome per feed."""
-    outcome = land_feeds(spark, landing, raw)
-    frames = transform(read_raw(spark, raw, recent_only), scorer, length=length)
-    publish_all(spark, serving, frames, now if now is not None else F.localtimestamp(), upsert_hours=upsert_hours)
+    with workspace(spark):
+        outcome = land_feeds(spark, landing, raw, now)
+        frames = transform(read_raw(spark, raw, recent_only), scorer, length=length)
+        publish_all(spark, serving, frames, now if now is not None else F.localtimestamp(), upsert_hours=upsert_hours)
     return outcome
 
 
+def refresh_served(spark: SparkSession, serving: str, derived: str, since: Column | None = None) -> None:
+    """Keeps the derived tables current from the serving tables: one pass of the poller.
+
+    solar_hourly: the complete-hour means of the hours that rows written after `since` touch, pruned
+    to what solar still holds. dst_merged: rebuilt whole if dst or its predictions changed.
+    """
+    with workspace(spark):
+        if exists(spark, f"{serving}/solar"):
+            changed = change_feed(spark.read.parquet(f"{serving}/solar"), since, held_days=HELD_DAYS["solar"]).select("time")
+            if not changed.isEmpty():
+                refresh_buckets(spark, f"{serving}/solar", f"{derived}/solar_hourly", [], "time", SERVING["solar"], held_days=HELD_DAYS["solar"])(changed)
+        tables = [f"{serving}/{n}" for n in ("dst_predictions", "dst") if exists(spark, f"{serving}/{n}")]
+        if any(not change_feed(spark.read.parquet(t), since).isEmpty() for t in tables):
+            refresh_join(spark, f"{serving}/dst_predictions", f"{serving}/dst", f"{derived}/dst_merged")(None)
+
+
+def stream_served(
+    spark: SparkSession, stream: DataFrame, serving: str, derived: str, checkpoint: str, table: str, **options
+) -> StreamingQuery:
+    """Upserts a stream into a serving table at the table's cadence, derived tables kept current."""
+    hooks = {
+        "solar": refresh_buckets(spark, f"{serving}/solar", f"{derived}/solar_hourly", [], "time", SERVING["solar"], held_days=HELD_DAYS["solar"]),
+        "dst": refresh_join(spark, f"{serving}/dst_predictions", f"{serving}/dst", f"{derived}/dst_merged"),
+    }
+    hooks["dst_predictions"] = hooks["dst"]
+    options = {"trigger": cadence(table), "keep": RETENTION[table], **options}
+    return upsert_stream(spark, stream, f"{serving}/{table}", checkpoint, ["time"], SERVING[table], after=hooks.get(table), **options)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="python -m tidemark.plans.jobs", description="Run one batch.")
     for name in ("landing", "raw", "serving", "model"):

@@ -9,12 +9,9 @@ from ..functions.scalar import dynamic_pressure, round_half_even
 from ..operators.clean import mask_and_fill, mask_invalid, minute_boundary, project, to_double, with_time_key
 from ..operators.grid import anti_append, reindex
 from ..operators.select_source import SOURCE_PRIORITY, select_source
-from ..schemas import MAG_COLS, PLASMA_COLS
+from ..schemas import MAG_COLS, MAG_NAMES, PLASMA_COLS, PLASMA_NAMES, STEP
 from ..session import staged
 
-MAG_NAMES = {"bz_gsm": "bz", "bx_gsm": "bx", "by_gsm": "by"}
-PLASMA_NAMES = {"proton_speed": "speed", "proton_temperature": "temperature", "proton_density": "density"}
-STEP = "1 minute"
 SOLAR_COLS = ["speed", "temperature", "density", "bz", "bx", "by", "bt"]
 
 

@@ -50,6 +50,6 @@ def publish_all(
     keys = keys or []
     for name, cols in SERVING.items():
         hours = LOOKBACK_HOURS[name] if upsert_hours is None else upsert_hours
-        recent = upsert_lookback(frames[name], "time", hours)
+        recent = upsert_lookback(frames[name], "time", hours, keys)
         publish(spark, f"{root}/{name}", recent, [*keys, "time"], cols, now, keep=RETENTION[name])
     sync_marker(spark, f"{root}/metadata", now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import unit_scale
@@ -12,7 +12,7 @@ from ..operators.buckets import monthly_mean
 from ..operators.carry import latest_row
 from ..operators.clean import project
 from ..operators.grid import left_join_predictions
-from ..operators.publish import slice_interval
+from ..operators.publish import latest_published, latest_snapshot, slice_interval, slice_published
 from ..operators.raster import grid_points, grid_summary
 from ..schemas import SERVING
 
@@ -39,16 +39,73 @@ def solar_latest(solar: DataFrame, columns: list[str] | None = None) -> DataFram
     return project(latest_row(solar, "time"), _columns(columns))
 
 
-def dst_merged(predictions: DataFrame, observed: DataFrame, span: str = "7d") -> DataFrame:
-    """Predictions with observations where they exist; the window ends at the newest prediction."""
-    both = left_join_predictions(
-        predictions.select("time", "dst_predictions"), observed.select("time", "dst"), [], "time"
-    )
-    return slice_interval(both, "time", SPANS[span])
+def dst_merged(
+    predictions: DataFrame, observed: DataFrame, span: str = "7d", keys: list[str] | None = None
+) -> DataFrame:
+    """Predictions with observations where they exist; each series' window ends at its newest prediction.
 
+    The predictions are cut to the window before they are joined.
+    """
+    keys = keys or []
+    recent = slice_interval(predictions.select(*keys, "time", "dst_predictions"), "time", SPANS[span], keys)
+    return left_join_predictions(recent, observed.select(*keys, "time", "dst"), keys, "time")
 
-def series(table: DataFrame, span: str = "7d") -> DataFrame:
-    return slice_interval(table, "time", SPANS[span])
+
+def series(table: DataFrame, span: str = "7d", keys: list[str] | None = None) -> DataFrame:
+    return slice_interval(table, "time", SPANS[span], keys)
+
+
+def dst_latest(dst: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return latest_row(dst.select(*(keys or []), "time", "dst"), "time", keys)
+
+
+def kp_latest(kp: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return latest_row(kp.select(*(keys or []), "time", "Kp"), "time", keys)
+
+
+def next_prediction(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The prediction that reaches furthest ahead."""
+    return latest_row(predictions.select(*(keys or []), "time", "dst_predictions"), "time", keys)
+
+
+class Served:
+    """The same views over month-partitioned serving tables: only the months a view needs are read."""
+
+    def __init__(self, spark: SparkSession, root: str, derived: str | None = None) -> None:
+        self.spark, self.root, self.derived = spark, root, derived or root
+
+    def _slice(self, path: str, span: str, columns: list[str] | None = None) -> DataFrame:
+        rows = slice_published(self.spark, path, "time", SPANS[span])
+        return project(rows, columns) if columns else rows
+
+    def solar_raw(self, span: str = "24h", columns: list[str] | None = None) -> DataFrame:
+        if span not in ("24h", "7d"):
+            raise ValueError(f"unknown interval: {span}")
+        return self._slice(f"{self.root}/solar", span, _columns(columns))
+
+    def solar_monthly(self, columns: list[str] | None = None) -> DataFrame:
+        return self._slice(f"{self.derived}/solar_hourly", "1mo", _columns(columns))
+
+    def solar_latest(self, columns: list[str] | None = None) -> DataFrame:
+        return project(latest_published(self.spark, f"{self.root}/solar", "time"), _columns(columns))
+
+    def dst_merged(self, span: str = "7d") -> DataFrame:
+        recent = self._slice(f"{self.root}/dst_predictions", span, ["time", "dst_predictions", "month"])
+        months = [r[0] for r in recent.select("month").distinct().collect()]  # calendar-bounded
+        observed = self.spark.read.parquet(f"{self.root}/dst").where(F.col("month").isin(months)).select("time", "dst")
+        return left_join_predictions(recent.drop("month"), observed, [], "time")
+
+    def kp(self, span: str = "7d") -> DataFrame:
+        return self._slice(f"{self.root}/kp", span, ["time", "Kp"])
+
+    def dst_latest(self) -> DataFrame:
+        return latest_published(self.spark, f"{self.root}/dst", "time").select("time", "dst")
+
+    def kp_latest(self) -> DataFrame:
+        return latest_published(self.spark, f"{self.root}/kp", "time").select("time", "Kp")
+
+    def next_prediction(self) -> DataFrame:
+        return latest_published(self.spark, f"{self.root}/dst_predictions", "time").select("time", "dst_predictions")
 
 
 def any_data(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -66,17 +123,23 @@ def chart_temperature(rows: DataFrame) -> DataFrame:
     return rows.withColumn("temperature", unit_scale(F.col("temperature"), 1000))
 
 
-def ssn_with_trend(ssn: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ssn_with_trend(ssn: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The whole cycle and its calendar-month means."""
-    return ssn, monthly_mean(ssn, [], "time", "swpc_ssn")
+    return ssn, monthly_mean(ssn, keys or [], "time", "swpc_ssn")
 
 
-def nowcast(grid: DataFrame, retrieved: str = "retrieved_at") -> tuple[DataFrame, DataFrame]:
-    """(points, summary) of the newest grid; an archive without any snapshot yields no summary row,
+def nowcast(
+    grid: DataFrame, retrieved: str = "retrieved_at", product: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(points, summary) of the newest grid, of each product if there are several; an archive without any snapshot yields no summary row,
     which is not the same as a snapshot whose points all fall below the floor."""
-    newest_grid = grid.where(F.col(retrieved) == grid.agg(F.max(retrieved)).scalar())
+    product = product or []
+    if product:
+        newest_grid = latest_snapshot(grid, product, retrieved)
+    else:
+        newest_grid = grid.where(F.col(retrieved) == grid.agg(F.max(retrieved)).scalar())
     points = grid_points(newest_grid, "lon", "lat", "value")
-    keys = ["observation_time", "forecast_time"]
+    keys = [*product, "observation_time", "forecast_time"]
     shown = grid_summary(points, keys, "value")
     summary = newest_grid.select(*keys).distinct().join(shown, keys, "left").na.fill(0, ["point_count", "max_value"])
     return points, summary

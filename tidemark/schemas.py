@@ -5,6 +5,11 @@ from __future__ import annotations
 MAG_COLS = ["bz_gsm", "bx_gsm", "by_gsm", "bt"]
 PLASMA_COLS = ["proton_speed", "proton_temperature", "proton_density"]
 
+# The feeds' names for served columns, and the step of the minute grid.
+MAG_NAMES = {"bz_gsm": "bz", "bx_gsm": "bx", "by_gsm": "by"}
+PLASMA_NAMES = {"proton_speed": "speed", "proton_temperature": "temperature", "proton_density": "density"}
+STEP = "1 minute"
+
 REQUIRED = {
     "mag": ["time_tag", "active", "source", *MAG_COLS],
     "plasma": ["time_tag", "active", "source", *PLASMA_COLS],

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ DEFAULTS = {
 }
 
 _LOCAL_ROOT: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,15 +38,35 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in spark.checkpoint.dir. Only a session without that
-    setting, as in local tests, gets a temporary folder, and then it must be a local master.
+    The cluster names its shared folder in spark.checkpoint.dir; `workspace` deletes what a run put
+    there. A session without the setting must have a local master, where a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOT.get("path")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders made inside, also when the run fails.
+
+    What a run returns must be written elsewhere before it ends.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:

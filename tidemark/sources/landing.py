@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import MAG_COLS, PLASMA_COLS, REQUIRED
+from ..functions.timeparts import parse_time
+from ..schemas import MAG_COLS, PLASMA_COLS, RAW_KEYS, REQUIRED
+from ..session import staged
 from .contracts import ContractError, check_contract
 from .fixed_width import hourly_records
-from .payloads import nested_samples, parallel_rows, payload_rows, read_documents, rename_mirror, seen_columns, sniff
+from .payloads import arrival, nested_samples, parallel_rows, payload_rejects, payload_rows, read_documents, rename_mirror, seen_columns
 from .tables import exists
 
 _SOURCED = {"time_tag": "string", "active": "boolean", "source": "string"}
@@ -28,15 +32,32 @@ FIELDS = {
 
 
 def _records(spark: SparkSession, path: str, fields: dict[str, str], required: list[str]) -> DataFrame:
-    """Rows of JSON documents whose records together carry every required column."""
+    """Rows of JSON documents whose records together carry every required column, with their arrival."""
     docs = read_documents(spark, path)
-    if not docs.where(sniff(F.col("payload")).isNull()).isEmpty():
-        raise ContractError(f"{path}: unknown payload format")
+    bad = payload_rejects(docs, "payload").groupBy("reason").count().collect()  # at most two rows
+    if bad:
+        raise ContractError(f"{path}: {', '.join(f'{r[1]} {r[0]}' for r in sorted(bad))}")
     seen = seen_columns(docs, "payload").where(F.col("col").isin(required)).distinct()
     missing = sorted(set(required) - {r[0] for r in seen.collect()})  # at most len(required) names
     if missing:
         raise ContractError(f"{path}: missing {missing}")
-    return payload_rows(docs, "payload", fields)
+    return in_arrival(payload_rows(docs, "payload", fields, ["document"]))
+
+
+def in_arrival(rows: DataFrame) -> DataFrame:
+    """`seq` counts on over documents, so that a later document's record beats an earlier one's."""
+    return rows.withColumn("seq", arrival()).drop("document")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of forms that have at most one record for each time in a document."""
+    return in_arrival(rows.withColumn("seq", F.lit(0).cast("bigint")))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value): the lines of all documents, in arrival."""
+    docs = read_documents(spark, path)
+    return in_arrival(docs.select("document", F.posexplode(F.split("payload", r"\r?\n")).alias("seq", "value")))
 
 
 def _mirror(spark: SparkSession, path: str) -> DataFrame:
@@ -46,15 +67,32 @@ def _mirror(spark: SparkSession, path: str) -> DataFrame:
 
 # Feeds whose fallback has a form of its own; the others send the same records from a mirror.
 FALLBACKS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "dst": lambda spark, path: hourly_records(spark.read.text(path)),
-    "kp": lambda spark, path: parallel_rows(read_documents(spark, path), "payload", "datetime", "Kp"),
-    "ssn": lambda spark, path: nested_samples(read_documents(spark, path), "payload"),
+    "dst": lambda spark, path: hourly_records(_lines(spark, path), keep=["seq"]),
+    "kp": lambda spark, path: _placed(parallel_rows(read_documents(spark, path), "payload", "datetime", "Kp", ["document"])),
+    "ssn": lambda spark, path: _placed(nested_samples(read_documents(spark, path), "payload", keep=["document"])),
     "smoothed_ssn": _mirror,
 }
 
 
-def read_feed(spark: SparkSession, landing: str, feed: str) -> DataFrame | None:
-    """The primary form if it is there and valid, else the fallback, else None for this run."""
+def valid_rows(rows: DataFrame, feed: str) -> DataFrame:
+    """The feed's columns and `seq`, staged, with every time parsed and every number read.
+
+    Documents are parsed here once; all later steps read the staged rows. A text that is no time
+    raises, and so does a number that is none.
+    """
+    time = RAW_KEYS[feed][0]
+    kept = rows.select(*FIELDS[feed], "seq").where(F.col(f"`{time}`").isNotNull())
+    checked = kept.withColumn("_t", parse_time(F.col(f"`{time}`")))
+    out = staged(checked, f"feed-{feed}").where("_t IS NOT NULL").drop("_t")
+    return check_contract(feed, out)
+
+
+def read_feed(spark: SparkSession, landing: str, feed: str, log: list[tuple[str, str]] | None = None) -> DataFrame | None:
+    """The primary form if it is there and valid, else the fallback, else None for this run.
+
+    Why a form was refused goes to `log` as (path, reason). A bad document or value refuses its
+    form; it never stops the other feeds.
+    """
     same = lambda s, path: _records(s, path, FIELDS[feed], REQUIRED[feed])
     readers = {"primary": same, "fallback": FALLBACKS.get(feed, same)}
     for kind, reader in readers.items():
@@ -62,7 +100,8 @@ def read_feed(spark: SparkSession, landing: str, feed: str) -> DataFrame | None:
         if not exists(spark, path):
             continue
         try:
-            return check_contract(feed, reader(spark, path))
-        except ContractError:
-            continue
+            return valid_rows(reader(spark, path), feed)
+        except (ContractError, PySparkException, Py4JJavaError) as error:
+            if log is not None:
+                log.append((path, str(error).strip().splitlines()[0][:300] if str(error).strip() else type(error).__name__))
     return None

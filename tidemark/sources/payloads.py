@@ -1,16 +1,20 @@
 """JSON and text payloads to rows.
 
 Payload columns hold one fetched document per row, so an archive of any number of documents is
-parsed by as many tasks as it has splits.
+parsed by as many tasks as it has splits. A document that does not parse stops the job; `payload_rejects`
+lists such documents beforehand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DICTS, LISTS = "list_of_dicts", "list_of_lists"
+#: Records of one document at most; places in a document stay below it.
+DOCUMENT_ROWS = 1 << 31
+_STRICT = {"mode": "FAILFAST"}
 
 
 def read_dicts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -19,8 +23,44 @@ def read_dicts(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, for payloads whose shape is decided later."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
+    """(payload, document): one row per file, numbered by arrival (time written, then name).
+
+    The numbering sorts one short row per file; no payload moves for it.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), "_metadata.file_path")
+    order = Window.orderBy("file_modification_time", "file_path")
+    listed = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_modification_time")
+    numbers = listed.select("file_path", (F.row_number().over(order) - 1).cast("bigint").alias("document"))
+    return files.join(numbers, "file_path").select("payload", "document")
+
+
+def arrival(document: str = "document", seq: str = "seq") -> Column:
+    """One whole number that orders records by document, then by place in it."""
+    return F.col(document) * DOCUMENT_ROWS + F.col(seq)
+
+
+def payload_rejects(df: DataFrame, payload: str, keep: list[str] | None = None) -> DataFrame:
+    """(keep, reason) of documents in neither array form, or that do not parse in their form."""
+    form = sniff(F.col(payload))
+    records = F.from_json(payload, "array<map<string,string>>")
+    lists = F.from_json(payload, "array<array<string>>")
+    reason = (
+        F.when(F.col(payload).isNull() | form.isNull(), "unknown form")
+        .when((form == DICTS) & records.isNull(), "malformed")
+        .when((form == LISTS) & lists.isNull(), "malformed")
+    )
+    return df.select(*(keep or []), reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _parsed(payload: str, schema: str) -> Column:
+    """The payload under a schema; a document that does not fit it, or is missing, raises."""
+    bad = F.raise_error(F.concat(F.lit("malformed payload: "), F.coalesce(F.substring(payload, 1, 40), F.lit("NULL"))))
+    return F.coalesce(F.from_json(payload, schema, _STRICT), bad.cast(schema))
+
+
+def _given(value: Column, what: str) -> Column:
+    """The value, or an error naming what a document lacks."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"malformed payload: no {what}")))
 
 
 def sniff(payload: Column) -> Column:
@@ -35,14 +75,14 @@ def dict_rows(df: DataFrame, payload: str, fields: dict[str, str], keep: list[st
     """A row per record; `seq` is the record's place in its payload."""
     schema = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t in fields.items()) + ">>"
     keep = keep or []
-    rows = df.select(*keep, F.posexplode(F.from_json(payload, schema)).alias("seq", "_r"))
+    rows = df.select(*keep, F.posexplode(_parsed(payload, schema)).alias("seq", "_r"))
     return rows.select(*keep, "seq", *[F.col(f"_r.`{n}`").alias(n) for n in fields])
 
 
 def list_rows(df: DataFrame, payload: str, fields: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """A row per list after the header list, columns found by header name; absent ones are NULL."""
     keep = keep or []
-    table = df.select(*keep, F.from_json(payload, "array<array<string>>").alias("_a"))
+    table = df.select(*keep, _parsed(payload, "array<array<string>>").alias("_a"))
     table = table.select(
         *keep, F.get("_a", F.lit(0)).alias("_h"), F.posexplode(F.slice("_a", F.lit(2), F.greatest(F.size("_a") - 1, F.lit(0)))).alias("seq", "_r")
     )
@@ -71,8 +111,10 @@ def parallel_rows(df: DataFrame, payload: str, time: str, value: str, keep: list
     """{"datetime": [...], "<value>": [...]} to (time_tag, value) rows."""
     schema = f"struct<`{time}`:array<string>,`{value}`:array<double>>"
     keep = keep or []
-    pairs = F.inline(F.arrays_zip(F.col(f"_p.{time}").alias("t"), F.col(f"_p.{value}").alias("v")))
-    rows = df.select(*keep, F.from_json(payload, schema).alias("_p")).select(*keep, pairs.alias("t", "v"))
+    times, values = _given(F.col(f"_p.`{time}`"), time), _given(F.col(f"_p.`{value}`"), value)
+    even = F.when(F.size(times) == F.size(values), times).otherwise(F.raise_error(F.lit("malformed payload: arrays of unequal length")))
+    pairs = F.inline(F.arrays_zip(even.alias("t"), values.alias("v")))
+    rows = df.select(*keep, _parsed(payload, schema).alias("_p")).select(*keep, pairs.alias("t", "v"))
     return rows.select(*keep, F.rtrim("t", F.lit("Z")).alias("time_tag"), F.col("v").alias(value))
 
 
@@ -82,7 +124,7 @@ def nested_samples(
     """{root: {"samples": [{"time": "Y M D", "ssn": n}]}} to (Obsdate, swpc_ssn) rows."""
     schema = f"struct<`{root}`:struct<samples:array<struct<time:string,ssn:double>>>>"
     keep = keep or []
-    rows = df.select(*keep, F.inline(F.from_json(payload, schema).getField(root).getField("samples")))
+    rows = df.select(*keep, F.inline(_given(_parsed(payload, schema).getField(root).getField("samples"), "samples")))
     day = F.concat(F.replace("time", F.lit(" "), F.lit("-")), F.lit("T00:00:00"))
     return rows.select(*keep, day.alias("Obsdate"), F.col("ssn").alias("swpc_ssn"))
 
@@ -96,12 +138,12 @@ def grid_rows(df: DataFrame, payload: str, keep: list[str] | None = None) -> Dat
     """Grid payload to (observation_time, forecast_time, seq, lon, lat, value) rows."""
     schema = "struct<`Observation Time`:string,`Forecast Time`:string,coordinates:array<array<double>>>"
     keep = keep or []
-    grid = df.select(*keep, F.from_json(payload, schema).alias("g"))
+    grid = df.select(*keep, _parsed(payload, schema).alias("g"))
     points = grid.select(
         *keep,
         F.col("g.`Observation Time`").alias("observation_time"),
         F.col("g.`Forecast Time`").alias("forecast_time"),
-        F.posexplode("g.coordinates").alias("seq", "_c"),
+        F.posexplode(_given(F.col("g.coordinates"), "coordinates")).alias("seq", "_c"),
     )
     return points.select(*points.columns[:-1], *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(("lon", "lat", "value"))])
 

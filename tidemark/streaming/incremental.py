@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import round_mean
-from ..functions.timeparts import month_key
+from ..functions.timeparts import floor_time, interval, month_key
 from ..operators.buckets import SLOTS, recompute_touched, slots_seen
 from ..operators.grid import left_join_predictions
 from ..operators.merge import last_wins
@@ -72,7 +72,7 @@ def upsert_stream(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = last_wins(batch.select(*keys, *cols, *([seq] if seq else [])), keys, seq or F.lit(0))
+        rows = last_wins(batch.select(*keys, *cols, *([seq] if seq else [])), keys, seq)
         # Read by the month listing, the upsert and the hook; a lost block is recomputed.
         rows = rows.persist()
         try:
@@ -87,17 +87,32 @@ def upsert_stream(
 
 
 def refresh_buckets(
-    spark: SparkSession, base: str, published: str, keys: list[str], time: str, cols: list[str], unit: str = "hour"
+    spark: SparkSession,
+    base: str,
+    published: str,
+    keys: list[str],
+    time: str,
+    cols: list[str],
+    unit: str = "hour",
+    held_days: int | None = None,
 ) -> Callable[[DataFrame], None]:
     """An `after` hook that recomputes only the buckets a batch touched.
 
-    Both tables are partitioned by month, and only the touched months are read and rewritten.
+    Both tables are partitioned by month. The months that a touched bucket starts in are rewritten;
+    the rows come from those and the months the buckets reach into, as a week may cross from one to
+    the next. With `held_days` buckets older than the oldest row still held go.
     """
+    if unit not in SLOTS:
+        raise ValueError(f"unknown bucket unit: {unit}")
+    reach = {"hour": "0 days", "day": "0 days", "week": "6 days"}[unit]
 
     def refresh(changed: DataFrame) -> None:
-        months = sorted(r[0] for r in changed.select(month_key(F.col(time))).distinct().collect())  # calendar-bounded
+        start = floor_time(F.col(time), unit)
+        spans = changed.select(month_key(start).alias("a"), month_key(start + interval(reach)).alias("b")).distinct().collect()  # calendar-bounded
+        months = sorted({r.a for r in spans})
+        sources = sorted({m for r in spans for m in (r.a, r.b)})
         held = set(list_partitions(spark, published, MONTH))
-        rows = spark.read.parquet(base).where(F.col(MONTH).isin(months)).select(*keys, time, *cols)
+        rows = spark.read.parquet(base).where(F.col(MONTH).isin(sources)).select(*keys, time, *cols)
         current = rows.limit(0)
         if held & set(months):
             current = spark.read.parquet(published).where(F.col(MONTH).isin(months)).select(*keys, time, *cols)
@@ -107,10 +122,31 @@ def refresh_buckets(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(MONTH).parquet(published)
         drop_partitions(spark, published, sorted((set(months) & held) - kept))
+        if held_days:
+            prune_published(spark, base, published, time, unit, held_days)
 
     return refresh
 
 
+def prune_published(spark: SparkSession, base: str, published: str, time: str, unit: str, held_days: int) -> None:
+    """Drops published buckets older than the bucket of the oldest row still held of `base`.
+
+    Whole months go by their folders; the boundary month is rewritten.
+    """
+    months = list_partitions(spark, base, MONTH)
+    if not months or not list_partitions(spark, published, MONTH):
+        return
+    top = spark.read.parquet(base).where(F.col(MONTH) == months[-1]).agg((F.max(time) - interval(f"{held_days} days")).alias("c"))
+    cutoff, month = top.select("c", month_key(F.col("c"))).first()
+    oldest = spark.read.parquet(base).where((F.col(MONTH) >= month) & (F.col(time) >= F.lit(cutoff).cast("timestamp_ntz"))).agg(F.min(time).alias("t"))
+    first, month = oldest.select(floor_time(F.col("t"), unit).alias("f")).select("f", month_key(F.col("f"))).first()
+    present = list_partitions(spark, published, MONTH)
+    drop_partitions(spark, published, [m for m in present if m < month])
+    if month in present:
+        kept = spark.read.parquet(published).where((F.col(MONTH) == month) & (F.col(time) >= F.lit(first).cast("timestamp_ntz")))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(published)
+
+
 def refresh_join(spark: SparkSession, predictions: str, observed: str, published: str) -> Callable[[DataFrame], None]:
     """An `after` hook that rebuilds the small predictions-with-observations table whole."""
 

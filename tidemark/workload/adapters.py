@@ -124,19 +124,31 @@ DAILY = "daily AS (SELECT o_orderdate AS time, max(o_totalprice) AS price FROM o
 
 
 def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """embeddings as stacked snapshots: 181 vectors are the latitudes, their 64 values the longitudes.
-
-    Vectors labelled 9 are latitudes the feed left out.
-    """
-    rows = table(spark, sf, "embeddings").where(F.col("label") != 9)
+    """embeddings as stacked snapshots: 181 vectors are the latitudes, their 64 values the longitudes."""
+    rows = table(spark, sf, "embeddings")
     return rows.select(
+        "label",
         F.floor(F.col("vec_id") / HEIGHT).cast("bigint").alias("snap"),
         (F.pmod("vec_id", F.lit(HEIGHT)) - 90).cast("int").alias("lat"),
         F.posexplode("embedding").alias("seq", "e"),
-    ).select("snap", "lat", "seq", (F.col("seq") - 32).alias("lon"), (F.col("e").cast("double") * 400.0).alias("value"))
+    ).select("label", "snap", "lat", "seq", (F.col("seq") - 32).alias("lon"), (F.col("e").cast("double") * 400.0).alias("value"))
 
 
 GRID = """cells AS (
-  SELECT vec_id // 181 AS snap, (vec_id % 181 - 90)::INTEGER AS lat, (u.i - 1)::INTEGER AS seq, (u.i - 33)::INTEGER AS lon,
+  SELECT label, vec_id // 181 AS snap, (vec_id % 181 - 90)::INTEGER AS lat, (u.i - 1)::INTEGER AS seq, (u.i - 33)::INTEGER AS lon,
     embedding[u.i]::DOUBLE * 400.0::DOUBLE AS value
-  FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) u WHERE label <> 9)"""
+  FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) u)"""
+
+
+def predicted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("time"))
+    return rows.agg(F.min("o_totalprice").alias("dst_predictions"))
+
+
+def observed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("time"))
+    return rows.agg(F.min("l_extendedprice").alias("dst"))
+
+
+FORECAST = """pred AS (SELECT o_orderstatus AS status, o_orderdate AS time, min(o_totalprice) AS dst_predictions FROM orders GROUP BY 1, 2),
+ obs AS (SELECT l_linestatus AS status, l_shipdate AS time, min(l_extendedprice) AS dst FROM lineitem GROUP BY 1, 2)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import floor_time
-from ..operators.merge import land
+from ..operators.merge import land, land_documents
 from ..session import shared_folder
 from ..sources.contracts import choose_feed, schema_drift
 from ..sources.fixed_width import hourly_records
@@ -16,10 +16,14 @@ from ..sources.payloads import (
     list_rows,
     nested_samples,
     parallel_rows,
+    payload_rejects,
     payload_rows,
+    read_dicts,
+    read_documents,
     rename_mirror,
     sniff,
 )
+from ..sources.tables import read_legacy, read_or_empty
 from . import adapters as A
 from .registry import query
 
@@ -83,11 +87,77 @@ def json_formats(spark, sf):
 
 @query("json_files", _STAMPED.replace("event_type, ", ""))
 def json_files(spark, sf):
-    """The dict documents as gzip files in the shared folder, read back as files."""
+    """The dict documents as gzip files in the shared folder, one array in each, read back as files."""
     path = shared_folder(spark, "json")
-    _dicts(spark, sf).select("payload").write.option("compression", "gzip").text(path)
+    records = F.sort_array(F.collect_list(F.struct("event_id", "time_tag", "value")))
+    # A file is one fetch: events of at most 1,000 numbers.
+    docs = _records(spark, sf).groupBy(F.floor(F.col("event_id") / 1000).alias("file")).agg(F.to_json(records).alias("payload"))
+    docs.write.option("compression", "gzip").partitionBy("file").text(path)
     schema = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
-    return spark.read.schema(schema).json(path)
+    return read_dicts(spark, f"{path}/file=*", schema)
+
+
+def _damaged(spark, sf):
+    """The dict documents of the events, some cut short and some in no known form."""
+    docs = _dicts(spark, sf)
+    kind = F.pmod("batch", F.lit(7))
+    cut = F.when(kind == 1, F.expr("substring(payload, 1, length(payload) - 1)")).when(kind == 2, F.concat(F.lit("{"), F.col("payload"), F.lit("}")))
+    return docs.withColumn("payload", F.coalesce(cut, "payload"))
+
+
+@query(
+    "payload_rejects",
+    """SELECT DISTINCT event_type, event_id // 100 AS batch, CASE WHEN event_id // 100 % 7 = 1 THEN 'malformed' ELSE 'unknown form' END AS reason
+FROM events WHERE event_id // 100 % 7 IN (1, 2)""",
+)
+def rejects(spark, sf):
+    return payload_rejects(_damaged(spark, sf), "payload", ["event_type", "batch"])
+
+
+@query(
+    "landing_last_document_wins",
+    """SELECT strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS time_tag, max(o_totalprice) AS price FROM orders GROUP BY 1""",
+)
+def last_document(spark, sf):
+    """Two overlapping fetches of the daily peaks: the first has half of each, in the opposite order."""
+    root = shared_folder(spark, "documents")
+    days = A.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00").alias("time_tag"), floor_time(F.col("o_orderdate"), "year").alias("y"))
+    peaks = days.agg(F.max("o_totalprice").alias("price"))
+    for name, factor, ascending in (("1", 0.5, False), ("2", 1.0, True)):
+        record = F.sort_array(F.collect_list(F.struct("time_tag", (F.col("price") * factor).alias("price"))), ascending)
+        # A year of days in a document.
+        docs = peaks.groupBy("y").agg(F.to_json(record).alias("payload")).select("payload")
+        docs.repartition(F.xxhash64("payload")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    docs = read_documents(spark, f"{root}/*")
+    land_documents(spark, f"{root}-raw", docs, "payload", {"time_tag": "string", "price": "double"}, ["time_tag"], "time_tag", True)
+    return spark.read.parquet(f"{root}-raw/dicts").select("time_tag", "price")
+
+
+@query("legacy_skip", "SELECT 'full' AS run, count(*) AS \"rows\" FROM orders UNION ALL SELECT 'recent', 0")
+def legacy_skip(spark, sf):
+    """A legacy table is read by a full run and by no other."""
+    path, schema = f"{sf}/orders.parquet", A.table(spark, sf, "orders").schema
+    runs = {"full": read_legacy(spark, path, schema, False), "recent": read_legacy(spark, path, schema, True)}
+    out = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("run"), "rows") for n, df in runs.items()]
+    return out[0].unionByName(out[1])
+
+
+@query("missing_table", "SELECT 'there' AS \"table\", count(*) AS \"rows\" FROM orders UNION ALL SELECT 'missing', 0")
+def missing_table(spark, sf):
+    schema = A.table(spark, sf, "orders").schema
+    tables = {"there": f"{sf}/orders.parquet", "missing": f"{shared_folder(spark, 'none')}/orders"}
+    out = [read_or_empty(spark, p, schema).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, p in tables.items()]
+    return out[0].unionByName(out[1])
+
+
+@query("list_merge", _STAMPED)
+def list_merge(spark, sf):
+    """Header-row lists landed as they are, by their form."""
+    root = shared_folder(spark, "lists")
+    docs = _lists(spark, sf)
+    land_documents(spark, root, docs, "payload", FIELDS, ["event_id"], "time_tag", False)
+    kinds = A.table(spark, sf, "events").select("event_id", "event_type")
+    return spark.read.parquet(f"{root}/lists").join(kinds, "event_id").select("event_type", *FIELDS)
 
 
 @query("parallel_arrays", "SELECT event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time_tag, value AS Kp FROM events")
@@ -145,15 +215,14 @@ def grid_payload(spark, sf):
 
 @query(
     "fixed_width_expand",
-    f"""WITH {A.EV}, h AS (SELECT event_type, date_trunc('hour', ts) AS time, least(floor(max(value)), 999)::INTEGER AS x FROM ev GROUP BY ALL)
+    f"""WITH {A.EV}, h AS (SELECT event_type, date_trunc('hour', ts) AS time, max(k)::INTEGER AS x FROM ev GROUP BY ALL)
 SELECT event_type, strftime(time, '%Y-%m-%dT%H:00:00') AS time_tag, -x::DOUBLE AS dst FROM h""",
 )
 def fixed_width(spark, sf):
-    """Hourly peaks written as fixed-width daily records and parsed again."""
+    """Hourly peaks of k written as fixed-width daily records and parsed again; a peak that doesn't fit raises."""
     hour = floor_time(F.col("ts"), "hour").alias("time")
-    peaks = A.table(spark, sf, "events").groupBy("event_type", hour).agg(
-        F.least(F.floor(F.max("value")), F.lit(999)).cast("int").alias("x")
-    )
+    fits = F.when(F.max("k") <= 999, F.max("k")).otherwise(F.raise_error(F.lit("reading too wide for its field")).cast("int"))
+    peaks = A.events(spark, sf).groupBy("event_type", hour).agg(fits.alias("x"))
     day = floor_time(F.col("time"), "day").alias("day")
     field = F.lpad((-F.col("x")).cast("string"), 4, " ")
     # At most 24 entries per record.

@@ -19,7 +19,7 @@ KEY = ["snap"]
 @query("grid_points", f"""WITH {A.GRID} SELECT snap, lat, seq, value, CASE WHEN lon + 200 <= 180 THEN lon + 200 ELSE lon - 160 END AS lon
 FROM cells WHERE value >= 2 AND abs(lat) >= 20""")
 def points(spark, sf):
-    cells = A.grid_cells(spark, sf).withColumn("lon", F.col("lon") + 200)
+    cells = A.grid_cells(spark, sf).drop("label").withColumn("lon", F.col("lon") + 200)
     return grid_points(cells, "lon", "lat", "value")
 
 
@@ -35,6 +35,17 @@ def _raster(spark, sf):
     return rasterise(A.grid_cells(spark, sf), KEY, "lon", "lat", "value", "seq", W, H)
 
 
+def _gappy(spark, sf):
+    """All cells, those of the latitudes labelled 9 blank: they stand for rows the feed left out."""
+    rows = A.grid_cells(spark, sf)
+    raster = rasterise(rows, KEY, "lon", "lat", "value", "seq", W, H)
+    blank = rows.groupBy("snap", (F.col("lat") + 90).alias("y")).agg(F.bool_and(F.col("label") == 9).alias("out"))
+    marked = raster.join(blank, ["snap", "y"], "left")
+    gone = F.coalesce("out", F.lit(False))
+    zeros = F.transform("cells", lambda c: c * 0)
+    return marked.select("snap", "y", F.when(gone, zeros).otherwise(F.col("cells")).alias("cells"), (F.col("populated") & ~gone).alias("populated"))
+
+
 def _cells(rows):
     return rows.select("snap", F.col("y").cast("int").alias("y"), F.posexplode("cells").alias("x", "v"))
 
@@ -45,7 +56,10 @@ RASTER = f"""{A.GRID}, drawn AS (SELECT snap, (lat + 90)::INTEGER AS y, (lon + 3
    (SELECT unnest(generate_series(0, 180)) AS y) y, (SELECT unnest(generate_series(0, 63)) AS x) x),
  r0 AS (SELECT f.snap, f.y, f.x, coalesce(d.v, 0.0::DOUBLE) AS v, d.v IS NOT NULL AS populated
    FROM frame f LEFT JOIN drawn d ON f.snap = d.snap AND f.y = d.y AND f.x = d.x)"""
-FILLED = f"""{RASTER}, near AS (SELECT *,
+GAPPY_RASTER = f"""{RASTER.replace("r0 AS", "whole_r AS")}, gone AS (SELECT DISTINCT snap, (lat + 90)::INTEGER AS y FROM cells WHERE label = 9),
+ r0 AS (SELECT w.snap, w.y, w.x, CASE WHEN g.y IS NULL THEN v ELSE 0.0::DOUBLE END AS v, populated AND g.y IS NULL AS populated
+   FROM whole_r w LEFT JOIN gone g ON w.snap = g.snap AND w.y = g.y)"""
+FILLED = f"""{GAPPY_RASTER}, near AS (SELECT *,
    last_value(CASE WHEN populated THEN y END IGNORE NULLS) OVER lo AS ly, last_value(CASE WHEN populated THEN v END IGNORE NULLS) OVER lo AS lv,
    first_value(CASE WHEN populated THEN y END IGNORE NULLS) OVER hi AS hy, first_value(CASE WHEN populated THEN v END IGNORE NULLS) OVER hi AS hv
    FROM r0 WINDOW lo AS (PARTITION BY snap, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -80,17 +94,17 @@ def raster(spark, sf):
 
 @query("raster_fill", f"WITH {FILLED} SELECT snap, y, x, v FROM r1")
 def raster_fill(spark, sf):
-    return _cells(fill_rows(_raster(spark, sf), KEY))
+    return _cells(fill_rows(_gappy(spark, sf), KEY))
 
 
 @query("raster_blur", f"WITH {BLURRED} SELECT snap, y, x, v FROM b2")
 def raster_blur(spark, sf):
-    return _cells(blur(fill_rows(_raster(spark, sf), KEY), KEY, 2, W))
+    return _cells(blur(fill_rows(_gappy(spark, sf), KEY), KEY, 2, W))
 
 
 @query("raster_polar", f"WITH {POLAR} SELECT snap, y, x, v FROM polar")
 def raster_polar(spark, sf):
-    return _cells(polar_smooth(blur(fill_rows(_raster(spark, sf), KEY), KEY, 2, W), KEY, W, H))
+    return _cells(polar_smooth(blur(fill_rows(_gappy(spark, sf), KEY), KEY, 2, W), KEY, W, H))
 
 
 # ---- sequences ----
@@ -137,7 +151,7 @@ _SCORE = f"list_dot_product(vs, {_WEIGHTS}::DOUBLE[]) + list_sum(ks) * 0.01::DOU
 
 @query("score_linear", f"WITH {_SEQ} SELECT event_type, time, round({_SCORE}, 4) AS score FROM full_q")
 def score_linear(spark, sf):
-    scored = score_sequences(_series(spark, sf), ["event_type"], "time", ["v", "k"], linear_scorer(), LENGTH, 256)
+    scored = score_sequences(_series(spark, sf), ["event_type"], "time", ["v", "k"], linear_scorer(), LENGTH, 256, step="1 hour")
     return scored.withColumn("score", F.round("score", 4))
 
 

@@ -119,27 +119,16 @@ def append_new(spark, sf):
 
 @query(
     "left_join_predictions",
-    """WITH pred AS (SELECT o_orderdate AS time, min(o_totalprice) AS dst_predictions FROM orders GROUP BY 1),
- obs AS (SELECT l_shipdate AS time, min(l_extendedprice) AS dst FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT time, dst_predictions, dst FROM pred LEFT JOIN obs USING (time)""",
+    f"""WITH {A.FORECAST} SELECT status, time, dst_predictions, dst FROM pred LEFT JOIN obs USING (status, time)""",
 )
 def predictions_joined(spark, sf):
-    pred = A.table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("time")).agg(
-        F.min("o_totalprice").alias("dst_predictions")
-    )
-    return left_join_predictions(pred, _observed(spark, sf), [], "time")
-
-
-def _observed(spark, sf):
-    rows = A.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
-    return rows.groupBy(F.col("l_shipdate").alias("time")).agg(F.min("l_extendedprice").alias("dst"))
+    """Per order status and line status of the same letter: a status without lines that day has a gap."""
+    return left_join_predictions(A.predicted(spark, sf), A.observed(spark, sf), ["status"], "time")
 
 
 @query(
     "any_data",
-    """WITH pred AS (SELECT o_orderdate AS time, min(o_totalprice) AS p FROM orders GROUP BY 1),
- obs AS (SELECT l_shipdate AS time, min(l_extendedprice) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT bool_or(p IS NOT NULL OR d IS NOT NULL) AS any_data FROM pred LEFT JOIN obs USING (time)""",
+    f"""WITH {A.FORECAST} SELECT bool_or(dst_predictions IS NOT NULL OR dst IS NOT NULL) AS any_data FROM pred LEFT JOIN obs USING (status, time)""",
 )
 def has_data(spark, sf):
     return any_data(predictions_joined(spark, sf), ["dst", "dst_predictions"])
@@ -282,6 +271,34 @@ def tail_n(spark, sf):
     return tail_rows(A.daily(spark, sf), 365, "time")
 
 
+@query("tail_n_long", "SELECT l_shipdate, l_linenumber, l_orderkey FROM lineitem ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC LIMIT 4383")
+def tail_n_long(spark, sf):
+    """The newest 4,383 rows, as the sunspot cycle keeps; one long whole number stands for the time and its ties."""
+    rows = A.table(spark, sf, "lineitem").select("l_shipdate", "l_linenumber", "l_orderkey")
+    at = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * (1 << 40) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return tail_rows(rows.withColumn("at", at), 4383, "at").drop("at")
+
+
+@query(
+    "tail_n_hot",
+    """SELECT event_type = 'view' AS hot, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type = 'view' ORDER BY ts DESC) <= 5000""",
+)
+def tail_n_hot(spark, sf):
+    """Two series, one of them with most of the rows; narrow buckets."""
+    rows = A.table(spark, sf, "events").select((F.col("event_type") == "view").alias("hot"), "ts", "event_id")
+    return tail_rows(rows, 5000, "ts", ["hot"], "1 day")
+
+
+@query(
+    "quantile_narrow",
+    """SELECT event_type, round(quantile_cont(101325.0::DOUBLE + (event_id % 100003)::DOUBLE / 8192, 0.97), 6) AS pressure FROM events GROUP BY 1""",
+)
+def quantile_narrow(spark, sf):
+    """A column whose values differ by little against their size: one coarse bin, many fine ones."""
+    rows = A.table(spark, sf, "events").select("event_type", (F.lit(101325.0) + (F.col("event_id") % 100003) / F.lit(8192.0)).alias("pressure"))
+    return quantiles(rows, ["event_type"], ["pressure"], 0.97).withColumn("pressure", F.round("pressure", 6))
+
+
 @query(
     "tail_n_by_series",
     f"""WITH {A.HOURLY} SELECT event_type, time, v, k FROM hourly

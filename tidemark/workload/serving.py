@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import AURORA, BZ, DST, KP, SPEED, band, classify
 from ..functions.timeparts import floor_time, month_key
+from ..operators.asof import asof_join, asof_slow
 from ..operators.buckets import (
     complete_bucket_mean,
     complete_bucket_stats,
@@ -30,16 +31,27 @@ from ..operators.publish import (
     publish,
     retention_trim,
     slice_interval,
+    sync_marker,
     table_health,
     upsert_lookback,
 )
 from ..operators.raster import grid_points, grid_summary
-from ..plans.views import current_conditions, dst_merged, series, solar_latest, solar_monthly, solar_raw, ssn_with_trend
+from ..plans.views import (
+    Served,
+    chart_temperature,
+    current_conditions,
+    dst_merged,
+    nowcast,
+    series,
+    solar_latest,
+    solar_monthly,
+    solar_raw,
+    ssn_with_trend,
+)
 from ..session import shared_folder
 from ..sources.tables import lookback_scan, read_last_partitions
 from . import adapters as A
 from .registry import query
-from .repair import _observed, predictions_joined
 
 WEEK_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 _WEEK_MEANS = ", ".join(f"round_even(round(avg({c}) * 100, 6), 0) / 100 AS {c}" for c in WEEK_COLS)
@@ -376,14 +388,155 @@ def latest_view(spark, sf):
 
 @query(
     "view_predictions",
-    """WITH pred AS (SELECT o_orderdate AS time, min(o_totalprice) AS dst_predictions FROM orders GROUP BY 1),
- obs AS (SELECT l_shipdate AS time, min(l_extendedprice) AS dst FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT time, dst_predictions, dst FROM pred LEFT JOIN obs USING (time)
-WHERE time >= (SELECT max(time) FROM pred) - INTERVAL 1 MONTH""",
+    f"""WITH {A.FORECAST} SELECT status, time, dst_predictions, dst FROM pred LEFT JOIN obs USING (status, time)
+WHERE time >= (SELECT max(time) FROM pred p WHERE p.status = pred.status) - INTERVAL 1 MONTH""",
 )
 def predictions_view(spark, sf):
-    both = predictions_joined(spark, sf)
-    return dst_merged(both.select("time", "dst_predictions"), _observed(spark, sf), "1mo")
+    return dst_merged(A.predicted(spark, sf), A.observed(spark, sf), "1mo", ["status"])
+
+
+# ---- series that lag behind ----
+
+_LAG = """lagging AS (SELECT o_orderpriority AS series, o_orderdate - INTERVAL (o_custkey % 2 * 400) DAY AS time, max(o_totalprice) AS price, min(o_totalprice) AS low
+  FROM orders WHERE o_custkey % 2 = (o_orderpriority < '3')::INTEGER GROUP BY ALL
+  UNION ALL SELECT o_orderpriority || '+', o_orderdate, max(o_totalprice), min(o_totalprice) FROM orders WHERE o_custkey % 2 <> (o_orderpriority < '3')::INTEGER GROUP BY ALL)"""
+
+
+def _lagging(spark, sf):
+    """Daily peaks per priority, half of the series 400 days behind the others."""
+    odd = F.pmod("o_custkey", F.lit(2))
+    late = odd == (F.col("o_orderpriority") < "3").cast("int")
+    days = F.when(late, odd * 400).otherwise(0).cast("int")
+    series_ = F.when(late, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit("+")))
+    time = (F.col("o_orderdate") - F.make_dt_interval(days)).alias("time")
+    return A.table(spark, sf, "orders").groupBy(series_.alias("series"), time).agg(F.max("o_totalprice").alias("price"), F.min("o_totalprice").alias("low"))
+
+
+def _since(span):
+    return f"time >= (SELECT max(time) FROM lagging x WHERE x.series = lagging.series) - INTERVAL {span}"
+
+
+@query("retention_by_series", f"WITH {_LAG} SELECT * FROM lagging WHERE {_since('1 YEAR')}")
+def retention_series(spark, sf):
+    """Through storage: published by month, then trimmed; every series keeps its own last year."""
+    path = shared_folder(spark, "trim")
+    publish(spark, path, _lagging(spark, sf), ["series", "time"], ["price", "low"], _stamp(_T0), keep="1 year")
+    return spark.read.parquet(path).select("series", "time", "price", "low")
+
+
+@query("lookback_by_series", f"WITH {_LAG} SELECT * FROM lagging WHERE {_since('168 HOUR')}")
+def lookback_series(spark, sf):
+    return upsert_lookback(_lagging(spark, sf), "time", 168, ["series"])
+
+
+_WRITTEN = f"{_LAG}, written AS (SELECT *, CASE WHEN price > 200000 THEN TIMESTAMP '{_T1}' ELSE TIMESTAMP '{_T0}' END AS updated_at FROM lagging)"
+
+
+@query(
+    "change_feed_by_series",
+    f"""WITH {_WRITTEN} SELECT series, time, price, low, updated_at FROM written lagging WHERE updated_at > TIMESTAMP '{_T0}' AND {_since('310 DAY')}""",
+)
+def changes_series(spark, sf):
+    at = F.when(F.col("price") > 200000, _stamp(_T1)).otherwise(_stamp(_T0))
+    return change_feed(_lagging(spark, sf).withColumn("updated_at", at), _stamp(_T0), held_days=310, keys=["series"])
+
+
+@query(
+    "delta_merge_by_series",
+    f"""WITH {_LAG}, state AS (SELECT series, time, CASE WHEN price > 200000 THEN price ELSE low END AS price FROM lagging)
+SELECT * FROM state lagging WHERE {_since('310 DAY')}""",
+)
+def merged_series(spark, sf):
+    rows = _lagging(spark, sf)
+    held = rows.select("series", "time", F.col("low").alias("price"))
+    delta = rows.where("price > 200000").select("series", "time", "price")
+    return delta_merge(held, delta, ["series", "time"], "time", 310)[0]
+
+
+@query(
+    "asof_global_right",
+    f"""WITH {_LAG}, {A.DAILY}, m AS (SELECT date_trunc('month', time)::TIMESTAMP AS time, floor(round(avg(price) * 100, 6) + 0.5) / 100 AS monthly_mean FROM daily GROUP BY 1)
+SELECT l.series, l.time, l.price, m.monthly_mean FROM lagging l ASOF JOIN m ON l.time >= m.time""",
+)
+def asof_global(spark, sf):
+    """One monthly series for every station."""
+    right = ssn_with_trend(A.daily(spark, sf).withColumnRenamed("price", "swpc_ssn"))[1].withColumnRenamed("month", "time")
+    return asof_join(_lagging(spark, sf).select("series", "time", "price"), right, ["series"], "time", ["monthly_mean"], "365 days")
+
+
+@query(
+    "asof_slow_right",
+    f"""WITH {_SOLAR}, t AS (SELECT time FROM sol), r AS (SELECT time + INTERVAL 30 MINUTE AS time, max(speed) AS peak FROM sol WHERE bz < -20 GROUP BY 1)
+SELECT t.time, r.peak FROM t ASOF JOIN r ON t.time >= r.time""",
+)
+def asof_slow_right(spark, sf):
+    solar = _solar(spark, sf)
+    right = solar.where("bz < -20").groupBy((F.col("time") + F.expr("INTERVAL 30 MINUTES")).alias("time")).agg(F.max("speed").alias("peak"))
+    return asof_slow(solar.select("time"), right, [], "time", "peak")
+
+
+# ---- views over published tables ----
+
+
+def _published_orders(spark, sf):
+    """Daily peaks and lows as the dst, predictions and Kp tables of a serving folder."""
+    root = shared_folder(spark, "served")
+    rows = A.daily(spark, sf)
+    tables = {"dst_predictions": ("dst_predictions", 1.0), "dst": ("dst", -1.0), "kp": ("Kp", 0.001)}
+    for name, (col, factor) in tables.items():
+        publish(spark, f"{root}/{name}", rows.select("time", (F.col("price") * factor).alias(col)), ["time"], [col], _stamp(_T0))
+    return Served(spark, root)
+
+
+@query(
+    "view_published_predictions",
+    f"WITH {A.DAILY} SELECT time, price AS dst_predictions, -price AS dst FROM daily WHERE time >= (SELECT max(time) FROM daily) - INTERVAL 1 MONTH",
+)
+def published_predictions(spark, sf):
+    return _published_orders(spark, sf).dst_merged("1mo")
+
+
+@query("view_published_kp", f"WITH {A.DAILY} SELECT time, price * 0.001::DOUBLE AS \"Kp\" FROM daily WHERE time >= (SELECT max(time) FROM daily) - INTERVAL 7 DAY")
+def published_kp(spark, sf):
+    return _published_orders(spark, sf).kp("7d")
+
+
+@query(
+    "views_latest",
+    f"""WITH {A.DAILY}, l AS (SELECT * FROM daily ORDER BY time DESC LIMIT 1)
+SELECT 'dst' AS reading, time, -price AS value FROM l UNION ALL SELECT 'kp', time, price * 0.001::DOUBLE FROM l
+UNION ALL SELECT 'next', time, price FROM l""",
+)
+def views_latest(spark, sf):
+    served = _published_orders(spark, sf)
+    cards = {"dst": served.dst_latest(), "kp": served.kp_latest(), "next": served.next_prediction()}
+    return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("reading"), "time", F.col(d.columns[1]).alias("value")) for n, d in cards.items()])
+
+
+@query(
+    "view_nowcast",
+    f"""WITH {A.GRID}, newest AS (SELECT *, label AS product FROM cells c WHERE snap = (SELECT max(snap) FROM cells x WHERE x.label = c.label)),
+ shown AS (SELECT product, count(*) AS point_count, max(value) AS max_value FROM newest WHERE value >= 2 AND abs(lat) >= 20 GROUP BY 1)
+SELECT product, coalesce(point_count, 0) AS point_count, coalesce(max_value, 0) AS max_value FROM (SELECT DISTINCT product FROM newest) LEFT JOIN shown USING (product)""",
+)
+def nowcast_view(spark, sf):
+    grid = A.grid_cells(spark, sf).withColumnsRenamed({"label": "product", "snap": "retrieved_at"})
+    grid = grid.withColumns({"observation_time": F.lit("o"), "forecast_time": F.lit("f")})
+    return nowcast(grid, product=["product"])[1].select("product", "point_count", "max_value")
+
+
+@query("chart_scaled", f"WITH {_SOLAR} SELECT time, speed / 1000 AS temperature FROM sol")
+def chart_scaled(spark, sf):
+    return chart_temperature(_solar(spark, sf).select("time", F.col("speed").alias("temperature")))
+
+
+@query("run_marker", "SELECT max(o_orderdate) AS last_synced, count(*) AS orders FROM orders")
+def run_marker(spark, sf):
+    """The time of the last run, written and read back, beside the table it is about."""
+    orders, path = A.table(spark, sf, "orders"), shared_folder(spark, "marker")
+    for frame in (orders.where("o_orderstatus = 'F'"), orders):
+        sync_marker(spark, path, frame.agg(F.max("o_orderdate")).scalar())
+    return spark.read.parquet(path).withColumn("orders", orders.agg(F.count("*")).scalar())
 
 
 @query("full_series", f"WITH {A.DAILY} SELECT * FROM daily ORDER BY time")

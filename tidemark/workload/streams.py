@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import floor_time
 from ..session import shared_folder
-from ..streaming.incremental import refresh_buckets, stream_bucket_mean, stream_dedupe, upsert_stream, write_table
+from ..streaming.incremental import refresh_buckets, refresh_join, stream_bucket_mean, stream_dedupe, upsert_stream, write_table
 from . import adapters as A
 from .registry import query
 from .serving import _stamp
@@ -72,3 +72,45 @@ def touched(spark, sf):
     )
     schema = "event_type string, time timestamp_ntz, value double"
     return spark.read.schema(schema).parquet(f"{root}/days").select("event_type", "time", "value")
+
+
+@query(
+    "stream_touched_weeks",
+    """WITH d AS (SELECT l_returnflag, l_shipdate AS time, avg(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, date_trunc('week', time)::TIMESTAMP AS time, round_even(round(avg(l_quantity) * 100, 6), 0) / 100 AS l_quantity
+FROM d GROUP BY ALL HAVING count(*) = 7""",
+)
+def touched_weeks(spark, sf):
+    """Two streams of the same table: weeks that cross a month are corrected by the second."""
+    root = shared_folder(spark, "weeks")
+    keys, cols = ["l_returnflag", "time"], ["l_quantity"]
+    days = A.table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_shipdate").alias("time")).agg(F.avg("l_quantity").alias("l_quantity"))
+    wrong = days.where("day(time) > 3 OR day(time) < 2").withColumn("l_quantity", F.col("l_quantity") + F.when(F.dayofmonth("time") == 1, 5.0).otherwise(0.0))
+    for part, rows in (("a", wrong), ("b", days)):
+        rows.write.parquet(f"{root}/{part}")
+        upsert_stream(
+            spark, spark.readStream.schema(rows.schema).parquet(f"{root}/{part}"), f"{root}/table", f"{root}/checkpoint-{part}", keys, cols,
+            now=_stamp("2024-02-01 00:00:00"), after=refresh_buckets(spark, f"{root}/table", f"{root}/weeks", ["l_returnflag"], "time", cols, "week"),
+        ).awaitTermination()
+    schema = "l_returnflag string, time timestamp_ntz, l_quantity double"
+    return spark.read.schema(schema).parquet(f"{root}/weeks").select("l_returnflag", "time", "l_quantity")
+
+
+@query(
+    "stream_refresh_join",
+    """WITH p AS (SELECT o_orderdate AS time, max(o_totalprice) AS dst_predictions FROM orders GROUP BY 1),
+ o AS (SELECT l_shipdate AS time, max(l_extendedprice) AS dst FROM lineitem GROUP BY 1) SELECT time, dst_predictions, dst FROM p LEFT JOIN o USING (time)""",
+)
+def refreshed_join(spark, sf):
+    """Predictions and observations streamed in; the joined table is rebuilt after each batch."""
+    root = shared_folder(spark, "joined")
+    hook = refresh_join(spark, f"{root}/predictions", f"{root}/observed", f"{root}/merged")
+    sources = {
+        "observed": (A.table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").alias("time")).agg(F.max("l_extendedprice").alias("dst")), "dst"),
+        "predictions": (A.table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("time")).agg(F.max("o_totalprice").alias("dst_predictions")), "dst_predictions"),
+    }
+    for name, (rows, col) in sources.items():
+        rows.write.parquet(f"{root}/in-{name}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in-{name}")
+        upsert_stream(spark, stream, f"{root}/{name}", f"{root}/checkpoint-{name}", ["time"], [col], now=_stamp("2024-02-01 00:00:00"), after=hook).awaitTermination()
+    return spark.read.parquet(f"{root}/merged").select("time", "dst_predictions", "dst")
