@@ -31,6 +31,7 @@ from .word_tokens import word_tokens
 
 _CHUNK = 1 << 20
 ROUNDS = 6
+LEVEL = 6  # of compression between the steps; the shards themselves are plain
 
 
 class Permutation:
@@ -98,7 +99,7 @@ def _sequences(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, before = word_tokens(path), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             numbers = batch.column("doc_id").to_pylist()
             texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
@@ -129,15 +130,18 @@ def _sequences(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
 _MOVED = "shard int, slot binary, doc_id array<long>, piece binary, lengths binary, tokens binary"
 
 
-def _deal(rows: DataFrame, layout: Layout) -> DataFrame:
-    """Every run's sequences, one row for each shard they go to."""
+def _deal(rows: DataFrame, layout: Layout, first: dict[int, int]) -> DataFrame:
+    """Every run's sequences, one row for each shard they go to.
+
+    `first` has the number of each input partition's first sequence, so the payload isn't joined.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Permutation(layout.size, layout.key)
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
             for row in batch.to_pylist():
-                slot = order.slot(row["first"] + np.arange(row["count"]))
+                slot = order.slot(first[row["part"]] + row["before"] + np.arange(row["count"]))
                 lengths, piece = np.array(row["lengths"], np.int32), np.array(row["piece"], np.int32)
                 flat = np.frombuffer(unpack.decompress(row["tokens"]), np.uint16)
                 ends = np.cumsum(lengths)
@@ -187,12 +191,11 @@ def materialise(docs: DataFrame, path: str, length: int = 256, per_shard: int =
     runs = staged(_sequences(docs, path, length, end), "sequences")
     sizes = {r[0]: r[1] for r in runs.groupBy("part").agg(F.sum("count")).collect()}  # one row for each input partition
     layout = Layout(folder or shared_folder(spark, "token-shards"), sum(sizes.values()), length, per_shard, key)
-    first, before = [], 0
+    first, before = {}, 0
     for part in sorted(sizes):
-        first.append((part, before))
+        first[part] = before
         before += sizes[part]
-    numbered = runs.join(spark.createDataFrame(first, "part int, base long"), "part").withColumn("first", F.col("base") + F.col("before")).drop("base")
-    index = _deal(numbered, layout).groupBy("shard").applyInArrow(lambda t: _write_shard(t, layout, end), "doc_id long, piece int, length long, ids_crc32 long, slot long, shard int, record long")
+    index = _deal(runs, layout, first).groupBy("shard").applyInArrow(lambda t: _write_shard(t, layout, end), "doc_id long, piece int, length long, ids_crc32 long, slot long, shard int, record long")
     index = staged(index, "token-index")
     manifest = {"size": layout.size, "length": length, "per_shard": per_shard, "key": key, "end": end, "kind": "<u2", "shards": groups_for(layout.size, per_shard) if layout.size else 0}
     _write(f"{layout.folder.rstrip('/')}/manifest.json", json.dumps(manifest).encode())
