@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.minhash_dedup import near_dedup, near_duplicates
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.resharding import reshard, rewrite, transfers
-from tidemark.llm.topk import top_k
+from tidemark.llm.topk import _longest, top_k
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,3 +166,13 @@ def test_top_k_matches_brute_force(spark, chunk):
     got = {tuple(r) for r in top_k(table, every=10, block=16, chunk=chunk).collect()}
     assert got == brute_top(rows, 10, 10)
     assert top_k(table.limit(0)).count() == 0
+
+
+def test_longest_vectors_are_ranked_in_chunks_first(spark):
+    rows = [(i, i % 2, float(i * 7919 % 997 // 3), i % 40) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, dim int, norm double, chunk int")
+    longest = _longest(table, 5, 40)
+    want = {x[:3] for d in (0, 1) for x in sorted((r for r in rows if r[1] == d), key=lambda r: (-r[2], r[0]))[:5]}
+    assert {(r.vec_id, r.dim, r.norm) for r in longest.collect()} == want
+    plan = longest._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3  # of 40, 3 and 1 groups

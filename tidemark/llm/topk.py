@@ -112,6 +112,16 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _longest(parted: DataFrame, count: int, chunks: int) -> DataFrame:
+    """The `count` longest of each dimension, first of each chunk, then of ever more chunks together: no task sorts them all."""
+    while True:
+        order = Window.partitionBy("dim", F.col("chunk") % chunks).orderBy(F.desc("norm"), "vec_id")
+        parted = parted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).drop("place")
+        if chunks <= 1:
+            return parted
+        chunks = -(-chunks // 16)
+
+
 def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block: int = 1024, chunk: int = 8192, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k highest integer products, ties to smaller numbers.
 
@@ -136,8 +146,7 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, bl
         here = asked.join(groups, "dim").select("vec_id", "norm", "v", "least", F.lit(True).alias("is_query"), *keys)
         return there.union(here).groupBy(*keys).applyInArrow(lambda t: _best(t, k), "query_id long, vec_id long, score long")
 
-    longest = parted.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("norm"), "vec_id"))).where(F.col("place") <= chunk // 4)
-    seeds = longest.drop("place").withColumn("bucket", F.lit(0)).withColumn("chunk", F.lit(0))
+    seeds = _longest(parted, chunk // 4, chunks).withColumn("bucket", F.lit(0)).withColumn("chunk", F.lit(0))
     first = _ranked(against(seeds, queries.withColumn("least", F.lit(-np.inf))), k).where(F.col("rank") == k)
     least = staged(first.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least")), "least")
     asked = queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-np.inf)))
