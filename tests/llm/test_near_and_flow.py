@@ -176,3 +176,14 @@ def test_longest_vectors_are_ranked_in_chunks_first(spark):
     assert {(r.vec_id, r.dim, r.norm) for r in longest.collect()} == want
     plan = longest._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 3  # of 40, 3 and 1 groups
+
+
+def test_top_k_query_matches_sql(spark):
+    import duckdb
+
+    from tidemark.llm.queries import QUERIES, SQL
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op5_norm_bucketed_top_k"](spark, "/root/testdata/sf0.01").collect())
+    assert got and got == sorted(db.execute(SQL["op5_norm_bucketed_top_k"]).fetchall())

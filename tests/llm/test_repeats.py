@@ -125,3 +125,15 @@ def test_registered_queries_at_small_scale(spark):
     split = lambda t: [w.decode() for w in t.encode().split()]
     want = sorted((r[0], len(u), sum(m), hashlib.sha256(" ".join(w for w, x in zip(u, m) if not x).encode()).hexdigest()) for r, (u, m) in zip(rows, brute(rows, 20, split, True)))
     assert sorted(tuple(r) for r in QUERIES["op1_substring_dedup"](spark, sf).collect()) == want
+
+
+def test_registered_suffix_query_at_small_scale(spark):
+    from tidemark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = []
+    for r, (u, m) in zip(rows, brute(rows, 50, lambda t: t.encode(), False)):
+        runs = sum(x and not y for x, y in zip(m, [False, *m]))
+        want.append((r[0], len(u), sum(m), runs, hashlib.sha256(bytes(b for b, x in zip(u, m) if not x)).hexdigest()))
+    assert sorted(tuple(r) for r in QUERIES["op9_suffix_dedup"](spark, sf).collect()) == sorted(want)
