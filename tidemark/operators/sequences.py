@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +15,6 @@ from .carry import positions
 
 BLOCK = "_block"
 
-# Python workers get this package's scorers with the task, so it need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
-
 
 def _blocks(
     df: DataFrame, keys: list[str], time: str, length: int, block: int, width: str, step: str | None = None

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -19,6 +21,9 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Python workers get this package's functions with the task, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 _LOCAL_ROOT: dict[str, str] = {}
 _OPEN: list[list[str]] = []
 
