@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .common import table
+from .divergence import divergence, divergence_sql
+from .lexical import lexical_search, search_sql
 from .minhash_dedup import near_duplicates
 from .packing import default_tokenizer, pack, pieces
 from .quality_classifier import classify, fit, graded
 from .quality_rules import quality_rules, rules_sql
 from .resharding import reshard
+from .sentence_pieces import encode_pieces
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_shards import materialise
@@ -102,3 +105,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), default_tokenizer())[0]
+
+
+@query("op11_source_divergence", divergence_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", search_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), spans=False)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_spanned")
