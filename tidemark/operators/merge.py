@@ -41,9 +41,18 @@ def last_wins(df: DataFrame, keys: list[str], seq: Column | str | None = None) -
     return out.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def merge_records(existing: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """Upsert of whole records; inside `new`, `seq` (integers) decides between copies of one key."""
+def merge_records(existing: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None, written: str | None = None) -> DataFrame:
+    """Upsert of whole records; inside `new`, `seq` (integers) decides between copies of one key.
+
+    Between the two, new records win. With `written` (a column of both, microseconds) the one written
+    later does, so a delivery that was held up does not undo a newer one; a tie goes to the new record.
+    """
     cols = existing.columns
+    if written is not None:
+        age = F.coalesce(F.col(written), F.lit(OLDEST // 4)) * 2
+        fresh = last_wins(new, keys, seq).select(*cols)
+        both = existing.withColumn("_o", age).unionByName(fresh.withColumn("_o", age + 1))
+        return last_wins(both, keys, "_o").select(*cols)
     if seq is None:
         new, seq = last_wins(new.select(*cols), keys).withColumn("_s", F.lit(0)), "_s"
     arrival = F.coalesce(F.col(seq).cast("bigint"), F.lit(OLDEST + 1))
@@ -65,6 +74,7 @@ def land_partitioned(
     time: str,
     seq: str | None = None,
     keep: list[str] | None = None,
+    written: str | None = None,
 ) -> list[str]:
     """Merges a payload into its months of a partitioned raw table; returns those months.
 
@@ -83,7 +93,7 @@ def land_partitioned(
     if present:
         schema = kept.select(*cols).schema
         existing = spark.read.schema(schema).parquet(path).where(F.col(MONTH).isin(present))
-        merged = merge_records(existing.select(*cols), kept, [MONTH, *keys], seq)
+        merged = merge_records(existing.select(*cols), kept, [MONTH, *keys], seq, written)
     else:
         merged = last_wins(kept, [MONTH, *keys], seq).select(*cols)
     (
@@ -104,21 +114,19 @@ def _month_of(df: DataFrame, time: str) -> Column:
 
 
 def land_single(
-    spark: SparkSession, path: str, new: DataFrame, keys: list[str], seq: str | None = None
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], seq: str | None = None, written: str | None = None
 ) -> None:
-    """Merge into an unpartitioned raw table: the merged rows are staged whole, then replace it.
+    """Merge into an unpartitioned raw table: the merged rows are written beside it, then replace it.
 
-    Should the replacing write fail, the staged copy still holds every row.
+    Should the write fail, the table holds what it held before.
     """
-    from ..session import shared_folder
-    from ..sources.tables import read_or_empty
+    from ..sources.tables import read_or_empty, replace_table, restore_table
 
+    restore_table(spark, path)
     cols = [c for c in new.columns if c != seq]
     existing = read_or_empty(spark, path, new.select(*cols).schema)
-    staged = shared_folder(spark, "stage")
-    merge_records(existing, new, keys, seq).write.parquet(staged)
-    ordered = spark.read.parquet(staged).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    merged = merge_records(existing, new, keys, seq, written)
+    replace_table(spark, merged.repartitionByRange(*keys).sortWithinPartitions(*keys), path)
 
 
 def land_documents(
@@ -158,11 +166,12 @@ def land(
     partitioned: bool,
     seq: str | None = None,
     keep: list[str] | None = None,
+    written: str | None = None,
 ) -> list[str]:
     """Landing dispatch: nothing for a failed feed, else the partitioned or the single merge."""
     if payload is None:
         return []
     if partitioned:
-        return land_partitioned(spark, path, payload, keys, time, seq, keep)
-    land_single(spark, path, payload.select(*keep) if keep else payload, keys, seq)
+        return land_partitioned(spark, path, payload, keys, time, seq, keep, written)
+    land_single(spark, path, payload.select(*keep) if keep else payload, keys, seq, written)
     return []

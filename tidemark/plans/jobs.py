@@ -18,8 +18,9 @@ from ..operators.merge import land
 from ..operators.publish import HELD_DAYS, RETENTION, change_feed
 from ..operators.sequences import OnnxScorer
 from ..schemas import MONTH_PARTITIONED, RAW_KEYS, SERVING
-from ..session import build_session, workspace
-from ..sources.landing import FIELDS, in_arrival, read_feed
+from ..session import build_session, staged, workspace
+from ..sources.landing import FIELDS, in_arrival, read_delivery
+from ..sources.ledger import LANDED, REFUSED, landed_feeds, pending, read_pending, record
 from ..sources.payloads import grid_rows, payload_rows, read_documents
 from ..sources.tables import exists, list_partitions, read_last_partitions, read_legacy, read_or_empty
 from ..streaming.incremental import cadence, refresh_buckets, refresh_join, upsert_stream
@@ -31,24 +32,33 @@ LEGACY = {
 }
 
 
+FETCH_LOG = "feed string, at timestamp_ntz, ok boolean, reason string, documents bigint, refused bigint, records bigint, latest timestamp_ntz"
+
+
 def land_feeds(spark: SparkSession, landing: str, raw: str, now: Column | None = None) -> dict[str, str]:
-    """Merges every readable feed into its raw table; feed -> 'landed' or 'failed'.
+    """Merges each feed's new documents into its raw table; feed -> 'landed' or 'failed'.
 
-    A feed that fails does not stop the run: the transform then uses what landed before. Every
-    outcome is appended to {raw}/fetch_log (feed, at, ok, reason), which `fetch_counts` and
-    `feed_silence` read.
+    {raw}/ledger remembers the documents, so a run reads only what came since the last one, and a
+    feed with nothing new is as landed as it was. A feed that fails does not stop the run: the
+    transform then uses what landed before. Every outcome is appended to {raw}/fetch_log
+    (FETCH_LOG), counted while the rows are written; `fetch_counts` and `feed_silence` read it.
     """
-    outcome, log = {}, []
+    outcome, log, ledger = {}, [], f"{raw}/ledger"
+    stamp = now if now is not None else F.localtimestamp()
+    before = landed_feeds(spark, ledger)
     for feed, keys in RAW_KEYS.items():
-        refused: list[tuple[str, str]] = []
-        rows = read_feed(spark, landing, feed, refused)
-        outcome[feed] = "failed" if rows is None else "landed"
-        log.append((feed, rows is not None, "; ".join(f"{p}: {r}" for p, r in refused) or None))
-        if rows is not None:
-            land(spark, f"{raw}/{feed}", rows, keys, keys[0], feed in MONTH_PARTITIONED, "seq")
-    at = (now if now is not None else F.localtimestamp()).cast("timestamp_ntz").alias("at")
-    entries = spark.createDataFrame(log, "feed string, ok boolean, reason string").select("feed", at, "ok", "reason")
-    entries.coalesce(1).write.mode("append").parquet(f"{raw}/fetch_log")
+        new = read_delivery(spark, landing, feed, ledger)
+        if new.rows is not None:
+            land(spark, f"{raw}/{feed}", new.rows, keys, keys[0], feed in MONTH_PARTITIONED, "seq", written="written")
+        record(spark, ledger, feed, new.entries, stamp)
+        there = any(exists(spark, f"{landing}/{feed}/{kind}") for kind in ("primary", "fallback"))
+        outcome[feed] = "landed" if new.rows is not None or (there and not new.entries and feed in before) else "failed"
+        if new.entries or outcome[feed] == "failed":
+            log.append((feed, new.rows is not None, "; ".join(f"{p}: {r}" for p, r in new.refused) or None, new.documents, sum(state == REFUSED for _, state, _ in new.entries), new.records, new.latest))
+    if log:
+        entries = spark.createDataFrame(log, FETCH_LOG.replace("at timestamp_ntz, ", "")).withColumn("at", stamp.cast("timestamp_ntz"))
+        entries = entries.select("feed", "at", "ok", "reason", "documents", "refused", "records", "latest")
+        entries.coalesce(1).write.mode("append").parquet(f"{raw}/fetch_log")
     return outcome
 
 
@@ -61,13 +71,24 @@ def land_legacy(spark: SparkSession, documents: str, raw: str) -> None:
             land(spark, f"{raw}/{name}", rows, ["time_tag"], "time_tag", False, "seq")
 
 
-def land_grid(spark: SparkSession, documents: str, raw: str, product: str = "nowcast") -> None:
-    """Appends fetched grid documents to {raw}/grid with the time each was written."""
-    docs = spark.read.text(documents, wholetext=True).select(
-        F.col("value").alias("payload"), F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("retrieved_at")
-    )
-    rows = grid_rows(docs, "payload", ["retrieved_at"]).withColumn("product", F.lit(product))
-    rows.write.mode("append").parquet(f"{raw}/grid")
+def land_grid(spark: SparkSession, documents: str, raw: str, product: str = "nowcast", now: Column | None = None) -> int:
+    """Adds newly fetched grid documents to {raw}/grid with the time each was written; returns how many.
+
+    A document lands once, as the ledger has it afterwards. One that was added by a run that stopped
+    before its entry is replaced, not added again.
+    """
+    files = pending(spark, documents, f"{raw}/ledger")
+    if not files:
+        return 0
+    docs = read_pending(spark, files).withColumn("retrieved_at", F.timestamp_micros("written").cast("timestamp_ntz"))
+    rows = staged(grid_rows(docs, "payload", ["retrieved_at"]).withColumn("product", F.lit(product)), "grid")
+    path = f"{raw}/grid"
+    if exists(spark, path):
+        held = spark.read.parquet(path).select("product", "retrieved_at").distinct()
+        rows = rows.join(held, ["product", "retrieved_at"], "left_anti")
+    rows.write.mode("append").parquet(path)
+    record(spark, f"{raw}/ledger", product, [(f, LANDED, None) for f in files], now if now is not None else F.localtimestamp())
+    return len(files)
 
 
 def read_raw(spark: SparkSession, raw: str, recent_only: bool) -> dict[str, DataFrame]:

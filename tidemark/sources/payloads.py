@@ -18,8 +18,8 @@ _STRICT = {"mode": "FAILFAST"}
 
 
 def read_dicts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files holding a JSON array of records (plain or gzip); unknown keys are ignored."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files holding a JSON array of records (plain or gzip); unknown keys are ignored, a damaged file raises."""
+    return spark.read.schema(schema).option("multiLine", True).options(**_STRICT).json(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +71,25 @@ def sniff(payload: Column) -> Column:
     )
 
 
+def with_records(df: DataFrame, payload: str, out: str) -> DataFrame:
+    """`df` with `out`, the records of either array form as maps of texts, instead of the payload.
+
+    NULL for a document that is neither or does not parse; `{out}_form` is its form. Each document
+    is parsed once.
+    """
+    rest = [c for c in df.columns if c != payload]
+    form = sniff(F.col(payload))
+    parsed = df.select(
+        *rest,
+        form.alias(f"{out}_form"),
+        F.when(form == DICTS, F.from_json(payload, "array<map<string,string>>")).alias("_d"),
+        F.when(form == LISTS, F.from_json(payload, "array<array<string>>")).alias("_l"),
+    )
+    named = parsed.select("*", F.get("_l", F.lit(0)).alias("_h"), F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))).alias("_v"))
+    entry = lambda r: F.map_from_entries(F.filter(F.arrays_zip(F.col("_h").alias("k"), r.alias("v")), lambda e: e["k"].isNotNull()))
+    return named.select(*rest, f"{out}_form", F.coalesce("_d", F.transform("_v", entry)).alias(out))
+
+
 def dict_rows(df: DataFrame, payload: str, fields: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """A row per record; `seq` is the record's place in its payload."""
     schema = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t in fields.items()) + ">>"

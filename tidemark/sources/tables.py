@@ -19,6 +19,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Puts `df`, which may read the table at `path`, in its place.
+
+    The rows are written beside the table and swapped in by renames. A write that fails leaves the
+    table as it was; a run that stops between the renames leaves the old rows where `restore_table`
+    finds them.
+    """
+    fresh, old = f"{path}._fresh", f"{path}._old"
+    restore_table(spark, path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(fresh)
+    fs, target = _folder(spark, path)
+    aside = _folder(spark, old)[1]
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(_folder(spark, fresh)[1], target):
+        raise OSError(f"cannot move the new rows of {path} into place; the old ones are in {old}")
+    fs.delete(aside, True)
+
+
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Ends a replacement that was cut short: the old rows come back unless the new ones are in place."""
+    fs, target = _folder(spark, path)
+    old = _folder(spark, f"{path}._old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        elif not fs.rename(old, target):
+            raise OSError(f"cannot restore {path} from {path}._old")
+
+
 def list_partitions(spark: SparkSession, path: str, name: str) -> list[str]:
     """Sorted partition values from the folder listing; no data file is opened."""
     fs, folder = _folder(spark, path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import floor_time
 from ..operators.merge import land, land_documents
+from ..plans.jobs import land_feeds
 from ..session import shared_folder
 from ..sources.contracts import choose_feed, schema_drift
 from ..sources.fixed_width import hourly_records
@@ -133,6 +134,46 @@ def last_document(spark, sf):
     return spark.read.parquet(f"{root}-raw/dicts").select("time_tag", "price")
 
 
+def _deliveries(spark, sf):
+    """Daily peaks of the orders as documents of a feed, landed in three deliveries; the raw folder.
+
+    The first has the days to June, halved; the second the others, and a cut document a year; the
+    third corrects the first. A run without anything new follows each.
+    """
+    root = shared_folder(spark, "deliveries")
+    day = F.col("o_orderdate")
+    peaks = A.table(spark, sf, "orders").groupBy(F.date_format(day, "yyyy-MM-dd'T'00:00:00").alias("time_tag"), floor_time(day, "year").alias("y"), (F.month(day) <= 6).alias("early")).agg(
+        F.max("o_totalprice").alias("price")
+    )
+    for number, rows, factor, cut in ((1, peaks.where("early"), 0.5, False), (2, peaks.where("NOT early"), 1.0, True), (3, peaks.where("early"), 1.0, False)):
+        record = F.sort_array(F.collect_list(F.struct("time_tag", (F.col("price") * factor).alias("Kp"))))
+        # Half a year of days in a document.
+        docs = rows.groupBy("y").agg(F.to_json(record).alias("payload")).select(F.explode(F.array("payload", F.substring("payload", 1, 30)) if cut else F.array("payload")).alias("payload"))
+        docs.repartition(F.xxhash64("payload")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{root}/in/kp/primary")
+        for hour in ("00", "12"):
+            land_feeds(spark, f"{root}/in", f"{root}/raw", F.lit(f"2024-01-0{number} {hour}:00:00").cast("timestamp_ntz"))
+    return f"{root}/raw"
+
+
+@query("landing_incremental", """SELECT strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS time_tag, max(o_totalprice) AS "Kp" FROM orders GROUP BY 1""")
+def incremental(spark, sf):
+    """Three deliveries, one of them corrected late; each document is read once."""
+    return spark.read.parquet(f"{_deliveries(spark, sf)}/kp").select("time_tag", "Kp")
+
+
+@query(
+    "fetch_counts_observed",
+    """WITH d AS (SELECT DISTINCT o_orderdate AS day, year(o_orderdate) AS y, month(o_orderdate) <= 6 AS early FROM orders),
+c AS (SELECT early, count(DISTINCT y) AS files, count(*) AS records, max(day)::TIMESTAMP AS latest FROM d GROUP BY early)
+SELECT n AS delivery, (files * CASE WHEN early THEN 1 ELSE 2 END)::BIGINT AS documents, (CASE WHEN early THEN 0 ELSE files END)::BIGINT AS refused, records, latest
+FROM c JOIN (VALUES (1, true), (2, false), (3, true)) r(n, e) ON e = early""",
+)
+def counts_observed(spark, sf):
+    """What each delivery's landing counted while it wrote; runs that find nothing new log nothing."""
+    log = spark.read.parquet(f"{_deliveries(spark, sf)}/fetch_log").where("feed = 'kp'")
+    return log.select(F.dayofmonth("at").alias("delivery"), "documents", "refused", "records", "latest")
+
+
 @query("legacy_skip", "SELECT 'full' AS run, count(*) AS \"rows\" FROM orders UNION ALL SELECT 'recent', 0")
 def legacy_skip(spark, sf):
     """A legacy table is read by a full run and by no other."""
