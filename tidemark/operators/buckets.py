@@ -118,7 +118,13 @@ def recompute_touched(
     return kept.unionByName(fresh)
 
 
-def prune_buckets(published: DataFrame, held: DataFrame, time: str, unit: str = "hour") -> DataFrame:
-    """Drops buckets older than the bucket of the oldest held row."""
+def prune_buckets(published: DataFrame, held: DataFrame, time: str, unit: str = "hour", keys: list[str] | None = None) -> DataFrame:
+    """Drops buckets older than the bucket of the oldest held row, of each series if it has keys.
+
+    A series without a held row keeps no bucket.
+    """
+    if keys:
+        oldest = held.groupBy(*keys).agg(floor_time(F.min(time), unit).alias("_first"))
+        return published.join(oldest, keys).where(F.col(time) >= F.col("_first")).select(*published.columns)
     oldest = held.agg(F.min(time).alias("t")).select(floor_time(F.col("t"), unit)).scalar()
     return published.where(F.col(time) >= oldest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import floor_time, interval, month_key
 from ..session import staged
-from ..sources.tables import list_partitions
+from ..sources.tables import list_partitions, read_or_empty
 
 MONTH = "month"
 
@@ -154,8 +154,19 @@ def trim_table(spark: SparkSession, path: str, time: str, keep: str, keys: list[
 
 def _trim_series(spark: SparkSession, path: str, time: str, keep: str, keys: list[str], months: list[str]) -> None:
     table = spark.read.parquet(path)
-    cutoffs = staged(table.groupBy(*keys).agg((F.max(time) - interval(keep)).alias("_from")), "cutoffs")
+    trim_before(spark, path, time, keys, table.groupBy(*keys).agg((F.max(time) - interval(keep)).alias("_from")), months)
+
+
+def trim_before(spark: SparkSession, path: str, time: str, keys: list[str], cutoffs: DataFrame, months: list[str]) -> None:
+    """Drops each series' rows before its own `_from` from a month-partitioned table.
+
+    Months before the earliest cutoff go by their folders; only those between the earliest and the
+    latest one are rewritten. In these, rows of a series without a cutoff go.
+    """
+    cutoffs = staged(cutoffs, "cutoffs")
     ends = cutoffs.agg(month_key(F.min("_from")), month_key(F.max("_from"))).first()
+    if ends[0] is None:
+        return
     drop_partitions(spark, path, [m for m in months if m < ends[0]])
     boundary = [m for m in months if ends[0] <= m <= ends[1]]
     if not boundary:
@@ -188,15 +199,20 @@ def slice_interval(df: DataFrame, time: str, span: str, keys: list[str] | None =
     return df.join(anchors, keys).where(F.col(time) >= F.col("_from")).drop("_from").select(*df.columns)
 
 
-def slice_published(spark: SparkSession, path: str, time: str, span: str, keys: list[str] | None = None) -> DataFrame:
+def slice_published(
+    spark: SparkSession, path: str, time: str, span: str, keys: list[str] | None = None, schema: str | None = None
+) -> DataFrame:
     """slice_interval over a month-partitioned table that reads only the months it needs.
 
+    A table not published yet gives no rows, under `schema`.
+
     The newest time is read from the last month, or the newest one of each series from all months
     (keys and time only); months before the earliest cutoff are filtered out by partition.
     """
-    table, months = spark.read.parquet(path), list_partitions(spark, path, MONTH)
+    months = list_partitions(spark, path, MONTH)
     if not months:
-        return table.limit(0)
+        return read_or_empty(spark, path, schema or f"{time} timestamp_ntz, {MONTH} string").limit(0)
+    table = spark.read.parquet(path)
     if not keys:
         top = table.where(F.col(MONTH) == months[-1]).agg((F.max(time) - interval(span)).alias("c"))
         cutoff, month = top.select("c", month_key(F.col("c"))).first()
@@ -207,13 +223,15 @@ def slice_published(spark: SparkSession, path: str, time: str, span: str, keys:
     return recent.join(anchors, keys).where(F.col(time) >= F.col("_from")).drop("_from").select(*table.columns)
 
 
-def latest_published(spark: SparkSession, path: str, time: str) -> DataFrame:
-    """The newest row of a month-partitioned table, from its last month."""
+def latest_published(spark: SparkSession, path: str, time: str, schema: str | None = None) -> DataFrame:
+    """The newest row of a month-partitioned table, from its last month; none, under `schema`, before it is published."""
     from .carry import latest_row
 
     months = list_partitions(spark, path, MONTH)
+    if not months:
+        return read_or_empty(spark, path, schema or f"{time} timestamp_ntz, {MONTH} string").limit(0)
     table = spark.read.parquet(path)
-    return latest_row(table.where(F.col(MONTH) == months[-1]) if months else table.limit(0), time)
+    return latest_row(table.where(F.col(MONTH) == months[-1]), time)
 
 
 def latest_snapshot(df: DataFrame, product: list[str], retrieved: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.cursor import run_poll
 from ..operators.merge import land
 from ..operators.publish import HELD_DAYS, RETENTION, change_feed
 from ..operators.sequences import OnnxScorer
@@ -132,17 +133,27 @@ def run(
 def refresh_served(spark: SparkSession, serving: str, derived: str, since: Column | None = None) -> None:
     """Keeps the derived tables current from the serving tables: one pass of the poller.
 
-    solar_hourly: the complete-hour means of the hours that rows written after `since` touch, pruned
-    to what solar still holds. dst_merged: rebuilt whole if dst or its predictions changed.
+    solar_hourly: the complete-hour means of the hours that changed rows touch, pruned to what solar
+    still holds. dst_merged: rebuilt whole if dst or its predictions changed. What changed since the
+    last pass is remembered in {derived}/polls; a pass that fails is repeated. `since` reads from a
+    given time instead, and remembers nothing.
     """
+    hours = refresh_buckets(spark, f"{serving}/solar", f"{derived}/solar_hourly", [], "time", SERVING["solar"], held_days=HELD_DAYS["solar"])
+    merged = refresh_join(spark, f"{serving}/dst_predictions", f"{serving}/dst", f"{derived}/dst_merged")
+    readers = {
+        "solar": (lambda rows: hours(rows.select("time")), HELD_DAYS["solar"]),
+        "dst_predictions": (merged, None),
+        "dst": (merged, None),
+    }
     with workspace(spark):
-        if exists(spark, f"{serving}/solar"):
-            changed = change_feed(spark.read.parquet(f"{serving}/solar"), since, held_days=HELD_DAYS["solar"]).select("time")
-            if not changed.isEmpty():
-                refresh_buckets(spark, f"{serving}/solar", f"{derived}/solar_hourly", [], "time", SERVING["solar"], held_days=HELD_DAYS["solar"])(changed)
-        tables = [f"{serving}/{n}" for n in ("dst_predictions", "dst") if exists(spark, f"{serving}/{n}")]
-        if any(not change_feed(spark.read.parquet(t), since).isEmpty() for t in tables):
-            refresh_join(spark, f"{serving}/dst_predictions", f"{serving}/dst", f"{derived}/dst_merged")(None)
+        for name, (apply, held) in readers.items():
+            path = f"{serving}/{name}"
+            if since is None:
+                run_poll(spark, path, f"{derived}/polls", name, lambda rows, _, apply=apply: apply(rows), held_days=held)
+            elif exists(spark, path):
+                rows = change_feed(spark.read.parquet(path), since, held_days=held)
+                if not rows.isEmpty():
+                    apply(rows)
 
 
 def stream_served(

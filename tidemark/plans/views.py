@@ -15,6 +15,7 @@ from ..operators.grid import left_join_predictions
 from ..operators.publish import latest_published, latest_snapshot, slice_interval, slice_published
 from ..operators.raster import grid_points, grid_summary
 from ..schemas import SERVING
+from ..sources.tables import read_or_empty
 
 SPANS = {"24h": "24 hours", "7d": "7 days", "1mo": "1 month", "1y": "1 year"}
 
@@ -69,43 +70,54 @@ def next_prediction(predictions: DataFrame, keys: list[str] | None = None) -> Da
 
 
 class Served:
-    """The same views over month-partitioned serving tables: only the months a view needs are read."""
+    """The same views over month-partitioned serving tables: only the months a view needs are read.
+
+    Before a table's first publication its views have no rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str, derived: str | None = None) -> None:
         self.spark, self.root, self.derived = spark, root, derived or root
 
-    def _slice(self, path: str, span: str, columns: list[str] | None = None) -> DataFrame:
-        rows = slice_published(self.spark, path, "time", SPANS[span])
+    @staticmethod
+    def _schema(table: str) -> str:
+        values = ", ".join(f"`{c}` double" for c in SERVING[table])
+        return f"time timestamp_ntz, {values}, updated_at timestamp_ntz, month string"
+
+    def _slice(self, path: str, span: str, table: str, columns: list[str] | None = None) -> DataFrame:
+        rows = slice_published(self.spark, path, "time", SPANS[span], schema=self._schema(table))
         return project(rows, columns) if columns else rows
 
+    def _latest(self, table: str) -> DataFrame:
+        return latest_published(self.spark, f"{self.root}/{table}", "time", self._schema(table))
+
     def solar_raw(self, span: str = "24h", columns: list[str] | None = None) -> DataFrame:
         if span not in ("24h", "7d"):
             raise ValueError(f"unknown interval: {span}")
-        return self._slice(f"{self.root}/solar", span, _columns(columns))
+        return self._slice(f"{self.root}/solar", span, "solar", _columns(columns))
 
     def solar_monthly(self, columns: list[str] | None = None) -> DataFrame:
-        return self._slice(f"{self.derived}/solar_hourly", "1mo", _columns(columns))
+        return self._slice(f"{self.derived}/solar_hourly", "1mo", "solar", _columns(columns))
 
     def solar_latest(self, columns: list[str] | None = None) -> DataFrame:
-        return project(latest_published(self.spark, f"{self.root}/solar", "time"), _columns(columns))
+        return project(self._latest("solar"), _columns(columns))
 
     def dst_merged(self, span: str = "7d") -> DataFrame:
-        recent = self._slice(f"{self.root}/dst_predictions", span, ["time", "dst_predictions", "month"])
+        recent = self._slice(f"{self.root}/dst_predictions", span, "dst_predictions", ["time", "dst_predictions", "month"])
         months = [r[0] for r in recent.select("month").distinct().collect()]  # calendar-bounded
-        observed = self.spark.read.parquet(f"{self.root}/dst").where(F.col("month").isin(months)).select("time", "dst")
+        observed = read_or_empty(self.spark, f"{self.root}/dst", self._schema("dst")).where(F.col("month").isin(months)).select("time", "dst")
         return left_join_predictions(recent.drop("month"), observed, [], "time")
 
     def kp(self, span: str = "7d") -> DataFrame:
-        return self._slice(f"{self.root}/kp", span, ["time", "Kp"])
+        return self._slice(f"{self.root}/kp", span, "kp", ["time", "Kp"])
 
     def dst_latest(self) -> DataFrame:
-        return latest_published(self.spark, f"{self.root}/dst", "time").select("time", "dst")
+        return self._latest("dst").select("time", "dst")
 
     def kp_latest(self) -> DataFrame:
-        return latest_published(self.spark, f"{self.root}/kp", "time").select("time", "Kp")
+        return self._latest("kp").select("time", "Kp")
 
     def next_prediction(self) -> DataFrame:
-        return latest_published(self.spark, f"{self.root}/dst_predictions", "time").select("time", "dst_predictions")
+        return self._latest("dst_predictions").select("time", "dst_predictions")
 
 
 def any_data(rows: DataFrame, cols: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.timeparts import floor_time, interval, month_key
 from ..operators.buckets import SLOTS, recompute_touched, slots_seen
 from ..operators.grid import left_join_predictions
 from ..operators.merge import last_wins
-from ..operators.publish import MONTH, REFRESH_SECONDS, drop_partitions, publish
+from ..operators.publish import MONTH, REFRESH_SECONDS, drop_partitions, publish, retention_trim, trim_before
 from ..sources.tables import exists, list_partitions
 
 
@@ -123,19 +123,24 @@ def refresh_buckets(
         ).partitionBy(MONTH).parquet(published)
         drop_partitions(spark, published, sorted((set(months) & held) - kept))
         if held_days:
-            prune_published(spark, base, published, time, unit, held_days)
+            prune_published(spark, base, published, time, unit, held_days, keys)
 
     return refresh
 
 
-def prune_published(spark: SparkSession, base: str, published: str, time: str, unit: str, held_days: int) -> None:
-    """Drops published buckets older than the bucket of the oldest row still held of `base`.
+def prune_published(spark: SparkSession, base: str, published: str, time: str, unit: str, held_days: int, keys: list[str] | None = None) -> None:
+    """Drops published buckets older than the bucket of the oldest row still held of `base`, of each series.
 
-    Whole months go by their folders; the boundary month is rewritten.
+    Whole months go by their folders; the boundary months are rewritten.
     """
     months = list_partitions(spark, base, MONTH)
     if not months or not list_partitions(spark, published, MONTH):
         return
+    if keys:
+        held = retention_trim(spark.read.parquet(base).select(*keys, time), time, f"{held_days} days", keys)
+        oldest = held.groupBy(*keys).agg(floor_time(F.min(time), unit).alias("_from"))
+        trim_before(spark, published, time, keys, oldest, list_partitions(spark, published, MONTH))
+        return
     top = spark.read.parquet(base).where(F.col(MONTH) == months[-1]).agg((F.max(time) - interval(f"{held_days} days")).alias("c"))
     cutoff, month = top.select("c", month_key(F.col("c"))).first()
     oldest = spark.read.parquet(base).where((F.col(MONTH) >= month) & (F.col(time) >= F.lit(cutoff).cast("timestamp_ntz"))).agg(F.min(time).alias("t"))
