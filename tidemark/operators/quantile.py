@@ -77,6 +77,11 @@ def quantile_long(
         inside = {c: f"CASE WHEN {_bin(f'`{c}`')} BETWEEN `_min_{c}` AND `_max_{c}` THEN `{c}` END" for c in cols}
         counted = _long(near, keys, inside).groupBy(*group, "_x").agg(F.count("*").alias("_n"))
         counted = counted.selectExpr("*", f"{_bin('_x')} AS _bin")
+    return resolve(counted, targets, group)
+
+
+def resolve(counted: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _q) from the counted distinct values (`_x`, `_n`, `_bin`) of the wanted bins."""
     near_rank = counted.join(targets, [*group, "_bin"]).selectExpr("*", f"{_bin('_x', FINE_PER_UNIT)} AS _fine")
     fine = [*group, "_bin", "_fine"]
     part = ", ".join(_names([*group, "_bin"]))

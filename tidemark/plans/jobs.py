@@ -93,10 +93,7 @@ def land_grid(spark: SparkSession, documents: str, raw: str, product: str = "now
 
 
 def read_raw(spark: SparkSession, raw: str, recent_only: bool) -> dict[str, DataFrame]:
-    """The raw tables; a recent-only run reads the last two months and no legacy tables.
-
-    All that is measured from the rows, the outlier thresholds above all, then covers two months.
-    """
+    """The raw tables; a recent-only run reads the last two months and no legacy tables."""
     feeds = {}
     for feed, fields in FIELDS.items():
         path = f"{raw}/{feed}"
@@ -125,7 +122,7 @@ def run(
     """One whole batch run; returns the landing outcome per feed."""
     with workspace(spark):
         outcome = land_feeds(spark, landing, raw, now)
-        frames = transform(read_raw(spark, raw, recent_only), scorer, length=length)
+        frames = transform(read_raw(spark, raw, recent_only), scorer, length=length, rates=f"{raw}/rates")
         publish_all(spark, serving, frames, now if now is not None else F.localtimestamp(), upsert_hours=upsert_hours)
     return outcome
 

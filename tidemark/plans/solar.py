@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import dynamic_pressure, round_half_even
 from ..operators.clean import mask_and_fill, mask_invalid, minute_boundary, project, to_double, with_time_key
 from ..operators.grid import anti_append, reindex
+from ..operators.thresholds import EDGE, published_thresholds, update_rates
 from ..operators.select_source import SOURCE_PRIORITY, select_source
 from ..schemas import MAG_COLS, MAG_NAMES, PLASMA_COLS, PLASMA_NAMES, STEP
 from ..session import staged
@@ -37,9 +38,14 @@ def clean_solar(
     thresholds: DataFrame | None = None,
     priority: dict = SOURCE_PRIORITY,
     width: str = "1 day",
+    rates: str | None = None,
 ) -> DataFrame:
     """time, speed, temperature, density, bz, bx, by, bt, pressure: complete minutes, no NULLs
-    in any column that has data at all."""
+    in any column that has data at all.
+
+    With `rates`, a folder that all runs share, the outlier thresholds cover every month that any
+    run has read (see `operators.thresholds`), also if this one reads only the last two.
+    """
     keys = keys or []
     raw_mag, raw_plasma = parse_feed(mag, keys, MAG_COLS), parse_feed(plasma, keys, PLASMA_COLS)
     mag = select_source(raw_mag, [*keys, "time"], MAG_COLS, priority=priority).withColumnsRenamed(MAG_NAMES)
@@ -56,7 +62,12 @@ def clean_solar(
     solar = mask_invalid(solar, ["density", "speed", "temperature"])
     # The repair looks at every minute several times: measure, mask, look around, fill.
     solar = staged(solar.select(*keys, "time", *SOLAR_COLS), "minutes")
-    solar = mask_and_fill(solar, keys, "time", SOLAR_COLS, q, width, STEP, thresholds)
+    if rates is not None:
+        led = update_rates(solar.sparkSession, rates, solar, keys, "time", SOLAR_COLS, width, STEP)
+        thresholds = published_thresholds(solar.sparkSession, rates, keys, SOLAR_COLS, q)
+        solar = mask_and_fill(led, keys, "time", SOLAR_COLS, q, width, STEP, thresholds).where(f"NOT {EDGE}").drop(EDGE)
+    else:
+        solar = mask_and_fill(solar, keys, "time", SOLAR_COLS, q, width, STEP, thresholds)
     solar = solar.withColumn("pressure", dynamic_pressure(F.col("density"), F.col("speed")))
     values = [*SOLAR_COLS, "pressure"]
     return solar.select(*keys, "time", *[round_half_even(F.col(c)).alias(c) for c in values])

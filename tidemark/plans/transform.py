@@ -21,10 +21,11 @@ def transform(
     scorer: Callable[[np.ndarray], np.ndarray],
     keys: list[str] | None = None,
     length: int = 168,
+    rates: str | None = None,
 ) -> dict[str, DataFrame]:
-    """solar, dst, kp, ssn and dst_predictions from the raw feeds."""
+    """solar, dst, kp, ssn and dst_predictions from the raw feeds; `rates` as in `clean_solar`."""
     keys = keys or []
-    solar = clean_solar(feeds["mag"], feeds["plasma"], feeds.get("old_mag"), feeds.get("old_plasma"), keys)
+    solar = clean_solar(feeds["mag"], feeds["plasma"], feeds.get("old_mag"), feeds.get("old_plasma"), keys, rates=rates)
     solar = staged(solar, "solar")
     smoothed = clean_feed("smoothed_ssn", feeds["smoothed_ssn"], keys)
     features = staged(prepare_features(solar, smoothed, keys), "features")

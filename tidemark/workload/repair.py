@@ -14,13 +14,14 @@ from ..operators.clean import mask_and_fill, mask_invalid, mask_outliers, minute
 from ..operators.grid import anti_append, left_join_predictions, outer_join_series, overlay, regular_grid
 from ..operators.quantile import quantiles
 from ..operators.sequences import LinearScorer
+from ..operators.thresholds import published_thresholds, update_rates
 from ..operators.select_source import first_valid_by_priority, select_source, source_rank
 from ..plans.indices import clean_index
 from ..plans.predict import predict
 from ..plans.solar import clean_solar
 from ..plans.features import FEATURE_COLS, prepare_features
 from ..plans.views import any_data, chart_points
-from ..session import staged
+from ..session import shared_folder, staged
 from . import adapters as A
 from .registry import query
 
@@ -194,6 +195,28 @@ def outliers(spark, sf):
     return mask_outliers(A.gappy(spark, sf), ["event_type"], "time", ["v", "k"], step="1 hour")
 
 
+@query(
+    "outlier_mask_incremental",
+    f"""WITH series AS (SELECT l_returnflag, l_shipdate AS time, max(l_extendedprice) AS price, max(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1, 2),
+{A.masked_sql('price', 'series', 'l_returnflag', 'mp')}, {A.masked_sql('quantity', 'series', 'l_returnflag', 'mq')},
+newest AS (SELECT date_trunc('month', max(time)) - INTERVAL 1 MONTH AS first FROM series)
+SELECT l_returnflag, time, price, quantity FROM mp JOIN mq USING (l_returnflag, time), newest WHERE time >= first""",
+)
+def outliers_incremental(spark, sf):
+    """A first run over all but the last month, wrong in the month before; then one that reads two months."""
+    days = A.table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_shipdate").alias("time")).agg(F.max("l_extendedprice").alias("price"), F.max("l_quantity").cast("double").alias("quantity"))
+    days = staged(days, "days")
+    root, keys, cols = shared_folder(spark, "rates"), ["l_returnflag"], ["price", "quantity"]
+    last = F.trunc("time", "month").cast("timestamp_ntz")
+    newest = days.agg(F.max(last)).scalar()
+    wrong = F.when(last == newest - F.expr("INTERVAL 1 MONTH"), F.col("price") * F.dayofmonth("time")).otherwise(F.col("price"))
+    update_rates(spark, root, staged(days.where(last < newest).withColumn("price", wrong), "before"), keys, "time", cols, "365 days")
+    recent = staged(days.where(last >= newest - F.expr("INTERVAL 1 MONTH")), "recent")
+    led = update_rates(spark, root, recent, keys, "time", cols, "365 days")
+    masked = mask_outliers(led, keys, "time", cols, thresholds=published_thresholds(spark, root, keys, cols))
+    return masked.where("NOT _edge").select("l_returnflag", "time", "price", "quantity")
+
+
 @query(
     "mask_and_fill",
     f"""WITH {A.GAPPY}, {A.masked_sql('v', 'gappy', 'event_type', 'mv')}, {A.filled_sql('v', 'mv', 'event_type', 'f')}
