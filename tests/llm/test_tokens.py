@@ -57,6 +57,22 @@ def test_bpe_query_matches_tiktoken(spark, tiktoken_encoding):
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
 
 
+def test_long_words_and_small_memory(tiktoken_encoding, monkeypatch):
+    from tidemark.llm import bpe
+
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = [letters(200_000), "ab" * 100_000, "a" * 200_000, "漢字" * 20_000, *[f"{letters(n)} {letters(n)}," for n in (255, 256, 257) for _ in range(3)]]
+    monkeypatch.setattr(bpe, "KEEP", 15)
+    monkeypatch.setattr(bpe, "_CHUNK", 300)
+    texts += [t or "" for t in awkward(8, 120)] * 2
+    own = Encoder(RANKS, public_tokenizers.PATTERN)
+    for text, (n, ids, data) in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        want = tiktoken_encoding.encode_ordinary(text)
+        assert (n, ids.decode(), data) == (len(want), " ".join(map(str, want)), text.encode())
+    assert len(own.words) <= 15 + 300
+
+
 def test_decode_inverts_any_ids():
     own = Encoder(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(2)

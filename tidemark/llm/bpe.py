@@ -1,17 +1,22 @@
 """Byte-level BPE by recursive DuckDB queries, one database in each Python worker.
 
-Words still unknown to the worker become token-position rows. Each recursion joins neighbouring
+Each recursion opens the words still unknown to the worker to token-position rows, joins neighbouring
 tokens with the merge table and contracts every word's leftmost pair of minimum rank, until no pair
-of a word is in the table. An ordered aggregation writes the ids, another decodes them.
+of a word is in the table. An ordered aggregation decodes the ids. A step for each contraction costs
+the square of a word's length, so words of `LONG` bytes or more are contracted in the same order by a
+heap instead.
 
-A text is cut before a space that a non-space follows. No match of the pre-tokenising pattern spans
-such a place and none looks past it, so equal units have equal ids wherever they stand, and the
-worker remembers the units of the texts it has seen, up to `KEEP` of them.
+Equal matches of the pre-tokenising pattern have equal ids wherever they stand. The worker remembers
+the words it has met lately, also from one task to the next: two generations, the older of which goes
+when the younger one is full. New words of many texts are contracted together.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import sys
+import types
 from collections.abc import Iterator
 
 import duckdb
@@ -21,38 +26,37 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _BYTE, plain, sequence_hash
+from .common import plain
 
-KEEP = 300_000
-_CHUNK = 1 << 20
-#: Bytes that may begin a white-space character: no cut before these.
-_OPEN = np.ones(256, bool)
-_OPEN[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Words remembered, in each of two generations.
+KEEP = 400_000
+#: Bytes of a word from which a heap contracts it.
+LONG = 256
+_CHUNK = 4 << 20
 
-#: `byte_rows` (word, pos, token); `merges` (l, r, m): ranks are ids, so m is also the pair's rank.
+#: `byte_rows` (word, tokens in order); `merges` (l, r, m): ranks are ids, so m is also the pair's rank.
+#: Every step opens the words of the last one to token positions; a word's row replaces the one before.
 CONTRACT = """
-WITH RECURSIVE state(word, step, pos, token) AS (
-  SELECT word, 0, pos, token FROM byte_rows
-  UNION ALL
-  SELECT word, step + 1, pos, CASE WHEN pos = spot THEN m ELSE token END
-  FROM (
-    SELECT p.word, p.step, p.pos, p.token, p.before, b.m, b.spot
-    FROM (SELECT word, step, pos, token, lag(pos) OVER w AS before FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-    JOIN (
-      SELECT word, min(m) AS m, arg_min(pos, m * 4294967296 + pos) AS spot
-      FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS follows FROM state) q
-      JOIN merges ON merges.l = q.token AND merges.r = q.follows
-      GROUP BY word
-    ) b USING (word)
-  )
-  WHERE before IS NULL OR before <> spot
+WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
+  SELECT word, tokens FROM byte_rows
+  UNION
+  SELECT state.word, list_concat(list_append(state.tokens[:(best & 4294967295) - 1], best >> 32), state.tokens[(best & 4294967295) + 2:])
+  FROM state JOIN (
+    SELECT word, min(m * 4294967296 + pos) AS best
+    FROM (SELECT word, unnest(range(1, len(tokens))) AS pos, unnest(tokens[:-2]) AS token, unnest(tokens[2:]) AS follows FROM state WHERE len(tokens) > 1)
+    JOIN merges ON merges.l = token AND merges.r = follows
+    GROUP BY word
+  ) USING (word)
 )
-SELECT word, pos, token FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last
+SELECT word, array_to_string(tokens, ' ') AS ids, len(tokens) AS n FROM state
 """
-ENCODED = "SELECT unit, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY place, pos) AS ids, count(*) AS n FROM unit_words JOIN tokens USING (word) GROUP BY unit"
 DECODED = "SELECT unit, string_agg(hex, '' ORDER BY spot) AS hex FROM unit_ids JOIN vocabulary ON id = token GROUP BY unit"
 
 
+#: Ids as text, their number and the decoded bytes.
+Known = tuple[bytes, int, bytes]
+
+
 class Encoder:
     """Encodes and decodes units of text with the ranks in the file at `path`."""
 
@@ -64,37 +68,55 @@ class Encoder:
         triples = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"l": [x[0] for x in triples], "r": [x[1] for x in triples], "m": [x[2] for x in triples]})  # noqa: F841
         vocabulary = pa.table({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})  # noqa: F841
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.pair = {(a, b): m for a, b, m in triples}
+        # Within its memory or not at all: no files beside those of Spark.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
-        self.known: dict[int, tuple[bytes, int, bytes]] = {}
-
-    def learn(self, keys: list[int], units: list[bytes]) -> None:
-        """Remembers the ids, their number and the decoded bytes of each unit."""
-        words: dict[bytes, int] = {}
-        of_unit: list[tuple[int, int, int]] = []
-        for i, unit in enumerate(units):
-            for place, word in enumerate(self.pattern.findall(unit.decode())):
-                of_unit.append((i, place, words.setdefault(word.encode(), len(words))))
-        whole = [(i, 0, self.ranks[w]) for w, i in words.items() if w in self.ranks]
-        rest = [(w, i) for w, i in words.items() if w not in self.ranks]
-        raw = np.frombuffer(b"".join(w for w, _ in rest), np.uint8)
-        sizes = np.array([len(w) for w, _ in rest], np.int64)
-        ends = np.cumsum(sizes)
-        byte_rows = pa.table({  # noqa: F841
-            "word": np.repeat(np.array([i for _, i in rest], np.int64), sizes),
-            "pos": np.arange(len(raw)) - np.repeat(ends - sizes, sizes),
-            "token": self.single[raw],
-        })
-        unit, place, word = (np.array(x, np.int64) for x in zip(*of_unit, strict=True))
-        unit_words = pa.table({"unit": unit, "place": place, "word": word})  # noqa: F841
-        merged = self.db.sql(CONTRACT).to_arrow_table()
-        alone = pa.table({n: pa.array([x[j] for x in whole], merged.schema.field(n).type) for j, n in enumerate(("word", "pos", "token"))}, schema=merged.schema)
-        tokens = pa.concat_tables([merged, alone])  # noqa: F841
-        ids = self.db.sql(ENCODED).to_arrow_table()
-        text = dict(zip(ids.column("unit").to_pylist(), zip(ids.column("ids").to_pylist(), ids.column("n").to_pylist(), strict=True), strict=True))
-        for i, data in self.decode([text[i][0].encode() for i in range(len(units))]).items():
-            self.known[keys[i]] = (text[i][0].encode(), text[i][1], data)
+        self.words: dict[str, Known] = {}
+        self.old_words: dict[str, Known] = {}
+
+    def contract(self, words: list[bytes]) -> dict[int, tuple[bytes, int]]:
+        """Ids as text and their number, for each word by its place in the list."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        bounds = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        byte_rows = pa.table({"word": np.arange(len(words)), "tokens": pa.ListArray.from_arrays(bounds, pa.array(self.single[raw]))})  # noqa: F841
+        found = self.db.sql(CONTRACT).to_arrow_table()
+        return {i: (ids.encode(), n) for i, ids, n in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "n")), strict=True)}
+
+    def contract_long(self, word: bytes) -> tuple[bytes, int]:
+        """The same of one word, by a heap over linked tokens."""
+        tokens, size = [int(x) for x in self.single[np.frombuffer(word, np.uint8)]], len(word)
+        left, right = list(range(-1, size - 1)), list(range(1, size + 1))
+        heap = [(m, i, pair) for i, pair in enumerate(zip(tokens, tokens[1:])) if (m := self.pair.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i, pair = heapq.heappop(heap)
+            j = right[i]
+            if j >= size or (tokens[i], tokens[j]) != pair:
+                continue
+            tokens[i], tokens[j], right[i] = m, -1, right[j]
+            if right[i] < size:
+                left[right[i]] = i
+            for a in (left[i], i):
+                if a >= 0 and right[a] < size:
+                    pair = tokens[a], tokens[right[a]]
+                    if (m := self.pair.get(pair)) is not None:
+                        heapq.heappush(heap, (m, a, pair))
+        ids = [t for t in tokens if t >= 0]
+        return " ".join(map(str, ids)).encode(), len(ids)
+
+    def learn(self, new: list[str]) -> dict[str, Known]:
+        """The ids as text, their number and the decoded bytes of each word."""
+        words = [w.encode() for w in new]
+        ids = {i: (b"%d" % self.ranks[w], 1) for i, w in enumerate(words) if w in self.ranks}
+        ids |= {i: self.contract_long(w) for i, w in enumerate(words) if len(w) >= LONG and i not in ids}
+        rest = [i for i in range(len(words)) if i not in ids]
+        if rest:
+            ids |= {rest[i]: x for i, x in self.contract([words[i] for i in rest]).items()}
+        decoded = self.decode([ids[i][0] for i in range(len(words))])
+        return {w: (*ids[i], decoded[i]) for i, w in enumerate(new)}
 
     def decode(self, texts: list[bytes]) -> dict[int, bytes]:
         """The bytes of each run of decimal ids."""
@@ -120,46 +142,30 @@ class Encoder:
             begin = end
 
     def _encode(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        data = b"\n".join([*texts, b""])
-        raw = np.frombuffer(data, np.uint8)
-        lengths = np.array([len(x) for x in texts])
-        ends = np.cumsum(lengths + 1) - 1
-        cut = np.zeros(len(raw) + 1, bool)
-        cut[:-2] = (raw[:-1] == 0x20) & _OPEN[raw[1:]]
-        cut[(ends - lengths)[lengths > 0]] = True
-        starts = np.flatnonzero(cut)
-        if not len(starts):
-            for _ in texts:
+        words = [self.pattern.findall(text.decode()) for text in texts]
+        new = set().union(*words).difference(self.words)
+        if len(self.words) + len(new) > KEEP:
+            self.words, self.old_words = {}, self.words
+            new = set().union(*words)
+        held = {w: self.old_words[w] for w in new if w in self.old_words}
+        if len(held) < len(new):
+            held |= self.learn([w for w in new if w not in held])
+        self.words.update((w, x) for w, x in held.items() if len(x[2]) < LONG)
+        get = self.words.get
+        for own in words:
+            if own:
+                ids, count, data = zip(*[get(w) or held[w] for w in own], strict=True)
+                yield sum(count), b" ".join(ids), b"".join(data)
+            else:
                 yield 0, b"", b""
-            return
-        owner = np.searchsorted(ends, starts, side="right")
-        stops = np.minimum(np.append(starts[1:], len(raw)), ends[owner])
-        hashes = sequence_hash(_BYTE[raw], starts, stops - starts)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.known) + len(keys) > KEEP:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self.learn([keys[i] for i in new], [data[starts[first[i]] : stops[first[i]]] for i in new])
-        found = [self.known[k] for k in keys]
-        ids, decoded = np.empty(len(keys), object), np.empty(len(keys), object)
-        ids[:], decoded[:] = [x[0] for x in found], [x[2] for x in found]
-        ids, decoded = ids[inverse], decoded[inverse]
-        count = np.concatenate(([0], np.cumsum(np.array([x[1] for x in found], np.int64)[inverse])))
-        bounds = np.searchsorted(starts, np.concatenate(([0], ends + 1)))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield int(count[b] - count[a]), b" ".join(ids[a:b].tolist()), b"".join(decoded[a:b].tolist())
-
-
-_HELD: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each vocabulary and Python worker, kept between its tasks."""
-    if (path, pattern) not in _HELD:
-        _HELD[path, pattern] = Encoder(path, pattern)
-    return _HELD[path, pattern]
+    held = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders")).__dict__
+    if (path, pattern) not in held:
+        held[path, pattern] = Encoder(path, pattern)
+    return held[path, pattern]
 
 
 OUTPUTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.BinaryType())]
