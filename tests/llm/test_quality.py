@@ -120,3 +120,11 @@ def test_classifier_cases(spark):
     empty = fit(docs, graded(labels.limit(0)))
     assert isinstance(empty, Model) and not empty.weights.any()
     assert classify(docs.limit(0), empty).count() == 0
+
+
+def test_names_that_clash_in_another_case(spark):
+    from tidemark.llm.quality_rules import quality_rules
+
+    docs = spark.createDataFrame([(1, "a b c", "x", 3)], "doc_id long, text string, Kept string, `a.B` int")
+    row = quality_rules(docs).select("doc_id", "kept", "`a.B`").first()
+    assert row.kept is False and row["a.B"] == 3

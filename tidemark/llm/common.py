@@ -26,9 +26,10 @@ def col(name: str) -> Column:
 def plain(docs: DataFrame, outputs: list[str], *columns: str) -> tuple[DataFrame, list[str], list[str]]:
     """`docs` under names that clash with nothing, its own names, and the new names of `columns`.
 
-    Columns named like an output are left out: the output replaces them.
+    Columns named like an output, in whatever case, are left out: the output replaces them.
     """
-    names = [c for c in docs.columns if c not in outputs]
+    taken = {c.lower() for c in outputs} - set(columns)
+    names = [c for c in docs.columns if c.lower() not in taken]
     safe = {c: f"_c{i}" for i, c in enumerate(names)}
     return docs.select([col(c).alias(safe[c]) for c in names]), names, [safe[c] for c in columns]
 
