@@ -137,3 +137,37 @@ def test_registered_suffix_query_at_small_scale(spark):
         runs = sum(x and not y for x, y in zip(m, [False, *m]))
         want.append((r[0], len(u), sum(m), runs, hashlib.sha256(bytes(b for b, x in zip(u, m) if not x)).hexdigest()))
     assert sorted(tuple(r) for r in QUERIES["op9_suffix_dedup"](spark, sf).collect()) == sorted(want)
+
+
+def test_long_repetitive_text_is_streamed_in_runs():
+    rng = np.random.default_rng(5)
+    motif = rng.integers(1, 5, 90)
+    lengths = np.array([40_000, 300, 12, 4_000])
+    text = np.concatenate([np.append(np.resize(motif, n), 0) for n in lengths])
+    text[[17_000, 40_100]] = 9
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    steps = []
+
+    class Counted(RunIndex):
+        def step(self, symbol, *state):
+            steps.append(len(symbol))
+            return super().step(symbol, *state)
+
+    found, times = stream(Counted(text, 12), text, begins, lengths, 12)
+    assert len(steps) == 256 + 11
+    earliest, count = {}, {}
+    for b, n in zip(begins, lengths):
+        for p in range(b, b + n - 11):
+            key = text[p : p + 12].tobytes()
+            earliest.setdefault(key, p)
+            count[key] = count.get(key, 0) + 1
+            assert found[p] == earliest[key]
+    assert all(times[p] == count[text[p : p + 12].tobytes()] for b, n in zip(begins, lengths) for p in range(b, b + n - 11))
+    assert (found[begins + lengths - 11] == -1).all()
+
+
+def test_bytes_of_long_repetitive_texts(spark):
+    motif = "the same ninety letters come again and again until the text is two hundred thousand bytes. "
+    rows = [(1, motif * 2200), (2, "x" + motif * 3 + "end"), (3, motif[:49])]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, rows[0][1].encode()), 2: (3 * len(motif), 1, b"xend"), 3: (0, 0, motif[:49].encode())}

@@ -118,15 +118,24 @@ class FMIndex:
         return self.samples[self.classes.rank(low + 1) - 1]
 
 
-def stream(index, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def in_runs(begins: np.ndarray, lengths: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts pieces into runs of at most `run` windows; neighbours share window - 1 symbols, so no window is lost."""
+    runs = np.maximum(1, -(-(lengths - window + 1) // run))
+    skipped = (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * run
+    return np.repeat(begins, runs) + skipped, np.minimum(np.repeat(lengths, runs) - skipped, run + window - 1)
+
+
+def stream(index, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray, window: int, run: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Matching statistics of all pieces at once, from right to left.
 
-    Every piece is a stream with its own row interval. A step drops the last symbol once the match
+    Every run of `run` windows is a stream with its own row interval, so a long piece takes no more
+    steps than that. A step drops the last symbol once the match
     has `window` of them, then extends it to the left. Returns, for each position of `text`, the
     earliest place of the `window` symbols from there (-1: none) and how often they occur.
     """
     found = np.full(len(text), -1, np.int64)
     times = np.zeros(len(text), np.int64)
+    begins, lengths = in_runs(begins, lengths, window, run)
     by_length = np.argsort(-lengths, kind="stable")
     begins, lengths = begins[by_length], lengths[by_length]
     state = index.start(len(begins))

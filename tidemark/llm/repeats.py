@@ -7,8 +7,9 @@ same anchor form a piece. Documents are cut into parts of bounded size; the step
    twice or more in the corpus: no other window can repeat;
 2. every part sends the pieces of those anchors, each distinct content once with its places, to
    piece shards: copies meet as one content, an anchor met very often is sent by single windows;
-3. a shard builds its index over the distinct contents and streams them through it; windows whose
-   match also starts earlier become spans, which go back to their part;
+3. a shard builds its index over the distinct contents and streams them through it (but for those
+   that no other content could match); windows whose match also starts earlier become spans, which
+   go back to their part;
 4. every part unites the spans of a document and cuts them out.
 
 The parts are read from one exchange in steps 1, 2 and 4. No step holds more than one part, or one
@@ -258,6 +259,9 @@ def _settle(rows: pa.Table, scheme: Scheme) -> pa.Table:
     head = by_first[np.concatenate(([True], np.diff(of[by_first]) > 0))]  # the earliest place of each content
     first_rank, first_start = rank[head], start[head]
     order = np.lexsort((first_start, first_rank, anchor))
+    if not scheme.same_document:  # a content alone under its anchor can only match itself, which does not count
+        _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+        order = order[members[group[order]] > 1]
     size = np.cumsum(length[order] + 1)
     same = np.concatenate(([False], anchor[order][1:] == anchor[order][:-1]))
     repeated_first: dict[int, np.ndarray] = {}
