@@ -134,6 +134,22 @@ def test_resharding_leaves_untouched_files(spark, tmp_path):
     assert {r.shard for r in placed.rows.collect() if r.old_shard != r.shard} == {3}
 
 
+def test_resharding_over_an_existing_layout(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    rows = [(i, "ab" * (i % 9), i % 4, f"x{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, _old_ string")
+    docs.write.partitionBy("shard").parquet(folder)
+    landed = spark.read.parquet(folder)
+    for shards in (2, 5):
+        placed = reshard(landed, F.col("shard"), shards=shards, block_bytes=100)
+        assert placed.rows.columns[:3] == ["doc_id", "text", "_old_"]
+        rewrite(placed, folder)
+        landed = spark.read.parquet(folder)
+        got = landed.select("doc_id", "text", "_old_", "shard").collect()
+        assert sorted((r.doc_id, r.text, r._old_) for r in got) == [(i, t, x) for i, t, _, x in rows]
+        assert {r.shard for r in got} == set(range(shards))
+
+
 def test_resharding_query(spark):
     rows = QUERIES["op10_flow_resharding"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     check_shards(rows, 16, max(r.size for r in rows))

@@ -75,7 +75,7 @@ class Placed:
 
     @property
     def affected(self) -> list[int]:
-        """New shards that anything enters or leaves; the others' files stay as they are."""
+        """Shards, old ones too, that anything enters or leaves; the others' files stay as they are."""
         into = {j for o, x in self.plan.items() for j, _ in x if j != o}
         left = {o for o, x in self.plan.items() if any(j != o for j, _ in x)}
         return sorted(into | left)
@@ -85,25 +85,29 @@ def _choose(cases: list[tuple[Column, int]], otherwise: Column) -> Column:
     return reduce(lambda rest, c: F.when(c[0], F.lit(c[1])).otherwise(rest), reversed(cases), otherwise)
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, block_rows: int = 100_000, id: str = "doc_id", text: str = "text") -> Placed:
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, block_rows: int = 100_000, block_bytes: int = 64 << 20, id: str = "doc_id", text: str = "text") -> Placed:
     """Places every row in a shard of nearly equal bytes, moving as few as it can.
 
     Size: UTF-8 bytes of the text (null: none) plus 1. `old_shard` says where a row is now (null: in
     shard 0). Rows are ordered by number (null first) and text hash; equal rows may stand in either
-    order. Input columns named like an output are replaced, all others are passed on. An empty table
+    order. They are sorted in blocks of about `block_rows` rows and `block_bytes` bytes, dealt by a
+    hash. Input columns named like an output are replaced, all others are passed on. An empty table
     gives an empty result and an empty plan.
     """
     outputs = ["size", "text_crc32", "old_shard", "shard", "slot"]
     old = F.coalesce(old_shard.cast("int"), F.lit(0))
-    docs = docs.withColumn("_old_", old)
-    docs, names, (id, text, where) = plain(docs, outputs, id, text, "_old_")
-    names.remove("_old_")
+    marker = "_old_"
+    while marker in {c.lower() for c in docs.columns}:
+        marker += "_"
+    docs = docs.withColumn(marker, old)
+    docs, names, (id, text, where) = plain(docs, outputs, id, text, marker)
+    names.remove(marker)
     body = F.coalesce(col(text), F.lit(""))
     rows = docs.withColumns({"_size": (F.octet_length(body) + 1).cast("long"), "_crc": F.crc32(F.encode(body, "UTF-8")), "_tie": F.xxhash64(body)})
     rows = rows.withColumn("_old", col(where)).drop(where)
     sums = {r[0]: (r[1], r[2]) for r in rows.groupBy("_old").agg(F.sum("_size"), F.count(F.lit(1))).collect()}
     plan = transfers({o: s for o, (s, _) in sums.items()}, shards)
-    blocks = groups_for(sum(n for _, n in sums.values()), block_rows)
+    blocks = max(groups_for(sum(n for _, n in sums.values()), block_rows), groups_for(sum(s for s, _ in sums.values()), block_bytes))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(id, "_tie"), F.lit(blocks)).cast("int"))
 
     bytes_before = Window.partitionBy("_old").orderBy("_block")
@@ -138,6 +142,15 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, block_rows: in
 
 
 def rewrite(placed: Placed, folder: str) -> None:
-    """Writes the affected shards under `folder`, each its own directory; the other directories stay."""
+    """Writes the affected shards under `folder`, each its own directory; the other directories stay.
+
+    Affected shards that hold no row any more lose their directory, after the others are written: a
+    run that stops in between is repeated whole. `placed` reads its own staged copy, not `folder`.
+    """
     rows = placed.rows.where(F.col("shard").isin(placed.affected or [-1])).repartition("shard").sortWithinPartitions("shard", "slot")
     rows.write.option("partitionOverwriteMode", "dynamic").partitionBy("shard").mode("overwrite").parquet(folder)
+    filled = {r[0] for r in placed.rows.groupBy("shard").count().select("shard").collect()}  # one for each shard at most
+    spark = placed.rows.sparkSession
+    for shard in sorted(set(placed.affected) - filled):
+        old = spark._jvm.org.apache.hadoop.fs.Path(folder, f"shard={shard}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
