@@ -109,7 +109,16 @@ def _grouped(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The values in the order of their groups, where each group starts, and the groups met."""
     order = np.argsort(of, kind="stable")
     starts = np.flatnonzero(np.diff(of[order], prepend=-1))
-    return values[order].astype(np.int32), starts, of[order][starts]
+    return values[order], starts, of[order][starts]
+
+
+def _twins(index: np.ndarray, owner: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first token that stands in the same texts as each token, and how many do; their weights never differ."""
+    order = np.argsort(index, kind="stable")
+    starts = np.flatnonzero(np.diff(index[order], prepend=-1))  # every token is met
+    texts = mix(owner.astype(np.uint64) + np.uint64(1))[order]
+    _, first, group, members = np.unique(np.add.reduceat(texts, starts), return_index=True, return_inverse=True, return_counts=True) if tokens else (np.zeros(0, np.int64),) * 4
+    return first[group], members[group]
 
 
 def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings: Settings) -> Model:
@@ -123,25 +132,30 @@ def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings
     tokens, known = np.flatnonzero(away >= settings.clear), (away >= settings.clear)[index]
     scale = away[tokens] / away[tokens].max(initial=1.0)
     index, owner = np.searchsorted(tokens, index[known]), owner[known]
+    twin, many = _twins(index, owner, len(tokens))
+    kinds = np.unique(twin)
+    of_kind = np.searchsorted(kinds, twin)
+    first = twin[index] == index
+    index, owner, scale, many = of_kind[index[first]], owner[first], scale[kinds], many[kinds]
     at_most = np.cumsum(np.bincount(grade, minlength=GRADES)) / count
     cut = np.clip(at_most[:-1], 1e-3, 1 - 1e-3)
     thresholds = np.log(cut / (1 - cut)) + 1e-3 * np.arange(GRADES - 1)
     gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
-    base, weights = thresholds[0], np.zeros(len(tokens))
-    memory, base_memory, gap_memory = np.full(len(tokens), 1e-8), 1e-8, np.full(len(gaps), 1e-8)
+    base, weights = thresholds[0], np.zeros(len(kinds))
+    memory, base_memory, gap_memory = np.full(len(kinds), 1e-8), 1e-8, np.full(len(gaps), 1e-8)
     of_text, text_starts, texts = _grouped(owner, index)
     of_token, token_starts, _ = _grouped(index, owner)  # every token is met
-    score = np.zeros(len(grade))
+    score, taken = np.zeros(len(grade)), np.empty(len(index))  # one buffer for all rounds
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for _ in range(settings.rounds):
         thresholds = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        score[texts] = np.add.reduceat(weights[of_text], text_starts) if len(texts) else 0.0
+        score[texts] = np.add.reduceat(np.take(many * weights, of_text, out=taken, mode="clip"), text_starts) if len(texts) else 0.0
         upper = np.where(grade < GRADES - 1, logistic(thresholds[np.minimum(grade, GRADES - 2)] - score), 1.0)
         lower = np.where(grade > 0, logistic(thresholds[np.maximum(grade, 1) - 1] - score), 0.0)
         mass = np.maximum(upper - lower, 1e-9)
         by_upper, by_lower = upper * (1 - upper) / mass / count, lower * (1 - lower) / mass / count
         push = by_upper - by_lower  # of the loss by the score
-        slope = scale * (np.add.reduceat(push[of_token], token_starts) if len(tokens) else 0.0) + settings.shrink * weights / scale
+        slope = scale * (np.add.reduceat(np.take(push, of_token, out=taken, mode="clip"), token_starts) if len(kinds) else 0.0) + settings.shrink * weights / scale
         at = np.bincount(np.minimum(grade, GRADES - 2), weights=np.where(grade < GRADES - 1, -by_upper, 0), minlength=GRADES - 1)
         at += np.bincount(np.maximum(grade, 1) - 1, weights=np.where(grade > 0, by_lower, 0), minlength=GRADES - 1)
         gap_slope = np.cumsum(at[::-1])[::-1][1:] * np.exp(gaps)
@@ -152,7 +166,7 @@ def fit_arrays(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, settings
         base -= settings.rate * at.sum() / np.sqrt(base_memory)
         gaps = gaps - settings.rate * gap_slope / np.sqrt(gap_memory)
     every = np.zeros(settings.buckets, np.float32)
-    every[tokens] = weights
+    every[tokens] = weights[of_kind]
     return Model(every, base + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
