@@ -1,5 +1,6 @@
 """Landing order and rejects, series that lag, pruned views, weeks across months, hot bins, clean-up."""
 
+import bisect
 import json
 import os
 import re
@@ -168,6 +169,28 @@ def test_slow_asof_equals_the_ordered_one(spark):
     assert key(asof_slow(left, right, ["k"], "time", "v")) == key(asof_join(left, right, ["k"], "time", ["v"]))
 
 
+def test_slow_asof_with_a_fast_right_side(spark):
+    """Buckets with many changes are answered by order: no array is longer than `most`."""
+    minute = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST({} AS INT))"
+    left = spark.range(0, 9000).selectExpr("CASE WHEN id % 3 > 0 THEN 'a' WHEN id % 2 > 0 THEN 'b' END AS k", f"{minute.format('id % 4500')} AS time", "id")
+    fast = "SELECT 'a' AS k, id * 2 AS m, id * 1.0D AS v FROM range(720, 1400) UNION ALL SELECT 'a', 2000, 9.0D UNION ALL SELECT 'a', 2000, 7.0D UNION ALL SELECT 'a', 3000, NULL"
+    right = spark.sql(f"{fast} UNION ALL SELECT 'b', 10, 1.0D UNION ALL SELECT 'b', 4000, 2.0D UNION ALL SELECT NULL, 1, 5.0D").selectExpr("k", f"{minute.format('m')} AS time", "v")
+    steps = {k: sorted((r.time, r.v) for r in right.where("v IS NOT NULL").collect() if r.k == k) for k in "ab"}
+    want = []
+    for r in left.where("k IS NOT NULL").collect():
+        past = steps[r.k][: bisect.bisect_right(steps[r.k], r.time, key=lambda s: s[0])]
+        if past:
+            want.append((r.id, r.k, r.time, past[-1][1]))
+    for most in (0, 64):
+        got = asof_slow(left, right, ["k"], "time", "v", most=most)
+        assert sorted((r.id, r.k, r.time, r.v) for r in got.collect()) == sorted(want)
+    one = right.where("k = 'a'").drop("k")
+    every = asof_slow(left, one, ["k"], "time", "v")
+    assert {r.k for r in every.collect()} == {"a", "b"} and every.where("k = 'a'").count() == sum(x[1] == "a" for x in want)
+    longest = re.findall(r"_n#\d+L? <= (\d+)", asof_slow(left, right, ["k"], "time", "v")._jdf.queryExecution().optimizedPlan().toString())
+    assert set(longest) == {"64"}
+
+
 def test_views_read_only_the_months_they_need(spark, frame, tmp_path):
     rows = [(f"2025-{m:02d}-{d:02d}", float(m)) for m in range(1, 13) for d in (1, 15, 28)]
     for name, col in (("dst_predictions", "dst_predictions"), ("dst", "dst"), ("kp", "Kp")):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeparts import bucket_number, from_epoch_seconds, seconds_of
-from .carry import BUCKET, fill_gaps, in_buckets
+from .carry import BUCKET, _across, fill_gaps, in_buckets
 
 
 def asof_join(
@@ -48,26 +47,32 @@ def asof_join(
     return left.join(answered.select(*keys, time, *cols), [*keys, time])
 
 
-def asof_slow(left: DataFrame, right: DataFrame, keys: list[str], time: str, col: str, width: str = "1 day") -> DataFrame:
+def asof_slow(left: DataFrame, right: DataFrame, keys: list[str], time: str, col: str, width: str = "1 day", most: int = 64) -> DataFrame:
     """The same for a right side that changes seldom against the width: `left` is not moved by order.
 
-    Per (key, bucket) of the left side there is one small row: the value carried to the bucket's
-    start and the changes inside it. That table, as long as the calendar, is joined on (key,
-    bucket), and each row picks the last change up to its time. A right side without the keys holds
-    for every series.
+    Per (key, bucket) there is one small row: the value carried to the bucket's start and the changes
+    inside it. That table, as long as the calendar, is joined on (key, bucket), and each row picks the
+    last change up to its time. Buckets with over `most` changes are kept out of it: their left rows
+    are answered by order, so no row holds or searches a longer array. Of several values at one time
+    the largest counts. A right side without the keys holds for every series.
     """
     shared = [k for k in keys if k in right.columns]
-    changes = right.select(*shared, F.col(time).alias("_at"), F.col(col).alias("_v")).where("_at IS NOT NULL AND _v IS NOT NULL")
+    spot = [*shared, BUCKET]
+    known = right.select(*shared, F.col(time).alias("_at"), F.col(col).alias("_v")).where("_at IS NOT NULL AND _v IS NOT NULL")
+    changes = in_buckets(known.groupBy(*shared, "_at").agg(F.max("_v").alias("_v")), shared, "_at", width)
     rows = in_buckets(left, keys, time, width)
-    spine = rows.select(*keys, BUCKET).distinct()
-    start = from_epoch_seconds(F.col(BUCKET) * seconds_of(width))
-    begins = spine.select(*shared, BUCKET).distinct().select(*shared, F.col(BUCKET).alias("_of"), start.alias(time))
-    before = asof_join(begins, changes.withColumnsRenamed({"_at": time, "_v": "_carried"}), shared, time, ["_carried"], "3650 days", unique_left=True)
-    inside = changes.withColumn(BUCKET, bucket_number(F.col("_at"), width)).groupBy(*shared, BUCKET)
-    steps = inside.agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_steps"))  # the changes of one bucket
-    known = spine.join(before.select(*shared, F.col("_of").alias(BUCKET), "_carried"), [*shared, BUCKET], "left").join(steps, [*shared, BUCKET], "left")
-    held = known.where("_carried IS NOT NULL OR _steps IS NOT NULL")
-    last = F.element_at(F.filter("_steps", lambda s: s["_at"] <= F.col(time)), -1)["_v"]
-    found = F.when(F.exists("_steps", lambda s: s["_at"] <= F.col(time)), last).otherwise(F.col("_carried"))
-    answered = rows.join(held, [*keys, BUCKET]).withColumn(col, found)
-    return answered.where(F.col(col).isNotNull()).select(*left.columns, col)
+    ends = changes.groupBy(*spot).agg(F.count("*").alias("_n"), F.max_by("_v", "_at").alias("_last"))
+    begins = rows.select(*spot).distinct().join(ends, spot, "full")
+    begins = begins.withColumn("_carried", F.last("_last", ignorenulls=True).over(_across(shared)))
+    seldom = changes.join(ends.where(F.col("_n") <= most).select(*spot), spot, "left_semi")
+    steps = seldom.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_steps"))  # the changes of one bucket
+    held = begins.where(F.coalesce("_n", F.lit(0)) <= most).select(*spot, "_carried").join(steps, spot, "left")
+    held = held.where("_carried IS NOT NULL OR _steps IS NOT NULL")
+    past = F.filter("_steps", lambda s: s["_at"] <= F.col(time))
+    found = F.when(F.size(past) > 0, F.element_at(past, -1)["_v"]).otherwise(F.col("_carried"))
+    picked = rows.join(held, spot).withColumn(col, found).where(F.col(col).isNotNull()).select(*left.columns, col)
+
+    crowded = rows.join(ends.where(F.col("_n") > most).select(*spot), spot, "left_semi")
+    newest = changes.select(*shared, F.col("_at").alias(time), F.col("_v").alias(col))
+    ordered = asof_join(crowded.select(*shared, time).distinct(), newest, shared, time, [col], width, unique_left=True)
+    return picked.unionByName(crowded.join(ordered, [*shared, time]).select(*left.columns, col))
