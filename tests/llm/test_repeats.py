@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from tidemark.llm.common import rolling, sliding_min, word_hashes
+from tidemark.llm.common import byte_values, rolling, sequence_hash, sliding_min, word_hashes
 from tidemark.llm.fm_index import FMIndex, stream
+from tidemark.llm.repeats import _content_hashes
 from tidemark.llm.run_index import RunIndex
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
@@ -117,6 +119,22 @@ def test_extra_columns_and_empty_table(spark):
     assert suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_content_hashes_take_bounded_memory():
+    rng = np.random.default_rng(6)
+    length = np.concatenate((rng.integers(50, 81, 60_000), [1_000_000], rng.integers(50, 81, 10))).astype(np.int64)
+    flat = rng.integers(0, 256, length.sum()).astype(np.uint8)
+    begin = np.cumsum(length) - length
+    assert (_content_hashes(flat[: begin[900]], begin[:900], length[:900]) == sequence_hash(byte_values(flat[: begin[900]].tobytes()), begin[:900], length[:900])).all()
+    _content_hashes(flat, begin, length)
+    tracemalloc.start()
+    got = _content_hashes(flat[: begin[60_000]], begin[:60_000], length[:60_000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got.tolist())) == 60_000 and most < 6 * begin[60_000]
+    assert (_content_hashes(byte_values(flat[:5000].tobytes()), np.array([0, 60]), np.array([60, 4940])) == _content_hashes(flat[:5000], np.array([0, 60]), np.array([60, 4940]))).all()
+    assert len(_content_hashes(flat[:0], begin[:0], length[:0])) == 0
+
+
 def test_registered_queries_at_small_scale(spark):
     from tidemark.llm.queries import QUERIES
 

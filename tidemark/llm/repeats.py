@@ -234,6 +234,17 @@ def _cut(rows: pa.Table, replies: pa.Table, text: str, scheme: Scheme, shards: i
     return pa.table({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
 
+def _content_hashes(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The hash of every content, a bounded run of neighbours (one at least) at a time: its arrays take many times the symbols."""
+    out, ends, at = np.zeros(len(length), np.uint64), begin + length, 0
+    while at < len(length):
+        end = max(at + 1, int(np.searchsorted(ends, begin[at] + _CHUNK, side="right")))
+        some = flat[begin[at] : ends[end - 1]]
+        out[at:end] = sequence_hash(some if some.dtype == np.uint64 else byte_values(some.tobytes()), begin[at:end] - begin[at], length[at:end])
+        at = end
+    return out
+
+
 def _settle(rows: pa.Table, scheme: Scheme) -> pa.Table:
     """Indexes the shard's distinct contents and turns windows that start earlier elsewhere into spans."""
     window = scheme.window
@@ -251,7 +262,7 @@ def _settle(rows: pa.Table, scheme: Scheme) -> pa.Table:
     doc, rank, start = np.concatenate(docs), np.concatenate(column("rank", np.int64)), np.concatenate(column("start", np.int32)).astype(np.int64)
     length, anchor, flat = np.concatenate(column("length", np.int32)).astype(np.int64), np.concatenate(anchors), np.concatenate(symbols)
     begin = np.cumsum(length) - length
-    content = sequence_hash(flat if kind is np.uint64 else byte_values(flat.tobytes()), begin, length) ^ anchor
+    content = _content_hashes(flat, begin, length) ^ anchor
     _, index, inverse = np.unique(content, return_index=True, return_inverse=True)
     of, length, anchor, begin = inverse[of], length[index], anchor[index], begin[index]
 

@@ -21,11 +21,12 @@ PACKED, KEY_BITS = 8, 63
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
-    """The rank of every key among the distinct ones."""
+    """The rank of every key among the distinct ones, in four bytes where they do."""
     order = np.argsort(key)
     key = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    kind = np.int32 if len(key) < 1 << 31 else np.int64
+    rank = np.empty(len(key), kind)
+    rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=kind)
     return rank
 
 
@@ -46,7 +47,7 @@ def ranks_by_packing(text: np.ndarray, window: int) -> dict[int, np.ndarray]:
         rank = ranks[width]
         bits = max(1, int(rank.max()).bit_length())
         wider = min(window, width * (KEY_BITS // bits))
-        padded, key = np.concatenate((rank, np.zeros(wider, np.int64))), np.zeros(len(rank), np.int64)
+        padded, key = np.concatenate((rank, np.zeros(wider, rank.dtype))), np.zeros(len(rank), np.int64)
         for j in _offsets(wider, width):
             key = (key << bits) | padded[j : j + len(rank)]
         width = wider
@@ -57,7 +58,7 @@ def ranks_by_packing(text: np.ndarray, window: int) -> dict[int, np.ndarray]:
 def _starts(order: np.ndarray, ranks: dict[int, np.ndarray], size: int) -> np.ndarray:
     """Marks the rows, in suffix order, whose first `size` symbols differ from those of the row before."""
     width = max(w for w in ranks if w <= size)
-    padded, new = np.concatenate((ranks[width], np.zeros(size, np.int64))), np.zeros(len(order), bool)
+    padded, new = np.concatenate((ranks[width], np.zeros(size, ranks[width].dtype))), np.zeros(len(order), bool)
     for j in _offsets(size, width):
         part = padded[order + j]
         new[1:] |= part[1:] != part[:-1]
@@ -70,7 +71,7 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, window: int) -> None:
         ranks = ranks_by_packing(text, window)
-        order = np.argsort((ranks[window] << 8) | np.roll(text, 1))
+        order = np.argsort((ranks[window].astype(np.int64) << 8) | np.roll(text, 1))
         bwt = text[order - 1]
         rows = self.rows = len(text)
         first = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
